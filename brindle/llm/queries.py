@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import common, mixing, secrets, sharding, url_filter
+from brindle.llm import common, fingerprint, mixing, secrets, sharding, token_rollup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,30 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op2_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_next(_table(spark, sf_dir, "documents"))
+
+
+#: The vocabulary file that op9 counts with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are committed as one batch of inserts, which is sent twice and counts once."""
+    counted = token_rollup.token_counts(_table(spark, sf_dir, "documents"), token_rollup.load_ranks(VOCABULARY), "byte-bpe-50k-v1")
+    rollup = token_rollup.TokenRollup(spark, common.scratch_path(spark, "rollup"))
+    for _ in range(2):
+        rollup.commit("load-1", token_rollup.inserts(counted))
+    return rollup.totals()
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op5_secret_scan, op6_curriculum_mix, op8_feistel_shards)
+    f.__name__: f for f in (op1_url_filter, op2_iblt_fingerprint, op5_secret_scan, op6_curriculum_mix, op8_feistel_shards, op9_token_rollup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
