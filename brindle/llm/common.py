@@ -72,13 +72,14 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _cache: dict[str, np.ndarray] = {}
 
 
-def _pow_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
+def byte_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, at least n."""
     held = _cache.get("p")
     if held is None or len(held) < n:
         size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
@@ -100,9 +101,9 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the index of each text's first word (with the end at last)."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     starts, ends = word_spans(buf)
-    up, down = _pow_arrays(len(buf))
+    up, down = byte_powers(len(buf))
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
+    np.cumsum(BYTE_VALUES[buf] * up[: len(buf)], out=total[1:])
     h = mix64((total[ends] - total[starts]) * down[starts])
     at = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=at[1:])

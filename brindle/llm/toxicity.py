@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word's input is its hashed word vector beside the mean of its hashed 4-byte character grams' vectors (the gram that starts at
-the space before the word marks its front).  One recurrent pass runs forward, one backward over windows of WINDOW words
+A word's input is its hashed word vector, beside two character inputs: the mean of its hashed 4-byte grams' vectors (the gram that
+starts at the space before the word marks its front), and the mean of its hashed prefixes' vectors.  One recurrent pass runs forward, one backward over windows of WINDOW words
 that overlap by WINDOW - STRIDE; attention pools the states, a logistic layer scores the pool, and a document's score is
 that of its highest window.  Every window of the whole text is scored.
 
@@ -25,16 +25,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, utf8, word_spans
+from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, utf8, word_spans
 
 WINDOW, STRIDE = 32, 24
-WORD_BITS, GRAM_BITS = 14, 16
-WORD_DIM, GRAM_DIM, HIDDEN = 4, 6, 8
-DIM = WORD_DIM + GRAM_DIM
+WORD_BITS, GRAM_BITS, FRONT_BITS = 14, 16, 16
+WORD_DIM, GRAM_DIM, FRONT_DIM, HIDDEN = 4, 4, 4, 8
+DIM = WORD_DIM + GRAM_DIM + FRONT_DIM
+#: Bytes of the prefixes.
+FRONTS = (4, 5, 6, 7, 8, 9, 10, 12)
 THRESHOLD = 0.7
 #: Roots of a likelihood ratio up to this are taken for chance; the vectors learn at this part of the rate.
 SURE = 3.5
-SLOW = 0.05
+SLOW = 0.02
+#: While learning, this share of words is blanked, and noise of this size is added to the inputs.
+BLANK, NOISE = 0.1, 0.2
+#: What a toxic window weighs against another one.
+POSITIVE = 2.5
 STEP_BYTES = 600_000
 STEP_WINDOWS = 2048
 F32 = np.float32
@@ -50,11 +56,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of some texts: word buckets, gram buckets with their first index for each word, first word of each text."""
+    """The words of some texts: word buckets, gram buckets with their first index for each word, prefix buckets, first word of each text."""
 
     word: np.ndarray
     gram: np.ndarray
     gram_at: np.ndarray
+    front: np.ndarray  # (word, prefix); a word shorter than a prefix has its whole in its place
     text_at: np.ndarray
 
 
@@ -72,15 +79,18 @@ def read_words(texts: Sequence[bytes]) -> Words:
     gram_at = np.zeros(len(n) + 1, dtype=np.int64)
     np.cumsum(n, out=gram_at[1:])
     gram = code[np.repeat(starts - 1 - gram_at[:-1], n) + np.arange(gram_at[-1])]
-    # A word's bucket: a sum of mixed grams and its length (letters alone decide).
-    mixed = np.zeros(gram_at[-1] + 1, dtype=np.uint64)
-    np.cumsum((c[np.repeat(starts - 1 - gram_at[:-1], n) + np.arange(gram_at[-1])].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), out=mixed[1:])
-    h = (mixed[gram_at[1:]] - mixed[gram_at[:-1]]) ^ n.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    word = (h >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    up, down = byte_powers(len(buf))
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUES[buf] * up[: len(buf)], out=total[1:])
+    base, back = total[starts], down[starts]
+    bucket = lambda to, bits: (mix64((total[to] - base) * back) >> np.uint64(64 - bits)).astype(np.int32)
+    word = bucket(ends, WORD_BITS)
+    front = np.empty((len(starts), len(FRONTS)), dtype=np.int32)
+    for j, k in enumerate(FRONTS):
+        front[:, j] = bucket(np.minimum(starts + k, ends), FRONT_BITS)
     at = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=at[1:])
-    return Words(word, gram, gram_at, np.searchsorted(starts, at + 1))
+    return Words(word, gram, gram_at, front, np.searchsorted(starts, at + 1))
 
 
 def windows(text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +103,16 @@ def windows(text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text_at[text] + first, np.minimum(WINDOW, n[text] - first), text
 
 
+def picked(w: Words, first: np.ndarray, length: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words of some windows alone, one window after the other, and each window's first word there."""
+    at = np.cumsum(length) - length
+    rows = np.repeat(first - at, length) + np.arange(length.sum())
+    n = np.diff(w.gram_at)[rows]
+    gram_at = np.concatenate([[0], np.cumsum(n)])
+    gram = w.gram[np.repeat(w.gram_at[rows] - gram_at[:-1], n) + np.arange(gram_at[-1])]
+    return Words(w.word[rows], gram, gram_at, w.front[rows], np.append(at, len(rows))), at
+
+
 @dataclass
 class Model:
     """Weights; gates are stacked as update, reset, candidate."""
@@ -103,7 +123,7 @@ class Model:
     @staticmethod
     def fresh(seed: int) -> Model:
         r = np.random.default_rng(seed)
-        p = {"word": r.normal(0, 0.05, (1 << WORD_BITS, WORD_DIM)), "gram": r.normal(0, 0.05, (1 << GRAM_BITS, GRAM_DIM))}
+        p = {"word": r.normal(0, 0.05, (1 << WORD_BITS, WORD_DIM)), "gram": r.normal(0, 0.05, (1 << GRAM_BITS, GRAM_DIM)), "front": r.normal(0, 0.05, (1 << FRONT_BITS, FRONT_DIM))}
         for d in "fb":
             p[f"w{d}"] = r.normal(0, 0.4, (DIM, 3 * HIDDEN))
             p[f"u{d}"] = r.normal(0, 0.3, (HIDDEN, 3 * HIDDEN))
@@ -118,7 +138,10 @@ class Model:
         if len(w.word):
             for j in range(GRAM_DIM):
                 x[:-1, WORD_DIM + j] = np.add.reduceat(np.ascontiguousarray(self.p["gram"][:, j])[w.gram], w.gram_at[:-1])
-            x[:-1, WORD_DIM:] /= np.diff(w.gram_at).astype(F32)[:, None]
+            x[:-1, WORD_DIM : WORD_DIM + GRAM_DIM] /= np.diff(w.gram_at).astype(F32)[:, None]
+            for j in range(len(FRONTS)):
+                x[:-1, WORD_DIM + GRAM_DIM :] += self.p["front"][w.front[:, j]]
+            x[:-1, WORD_DIM + GRAM_DIM :] /= len(FRONTS)
         return x
 
     def states(self, x: np.ndarray, place: np.ndarray, length: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -181,8 +204,8 @@ class Model:
         pool, a = self.pooled(h, length)
         s = _sigmoid(pool @ self.p["out"] + self.p["bias"])
         loss = -float(np.mean(np.log(np.where(y == 1, s, 1 - s) + 1e-9)))
-        dz = ((s - y) / n).astype(F32)
-        g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("word", "gram")}
+        dz = ((s - y) * np.where(y == 1, POSITIVE, 1) / n).astype(F32)
+        g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("word", "gram", "front")}
         g["out"], g["bias"] = pool.T @ dz, np.array([dz.sum()], dtype=F32)
         dpool = dz[:, None] * self.p["out"]
         da = np.einsum("nh,tnh->tn", dpool, h)
@@ -209,7 +232,8 @@ class Model:
         g["word"] = (w.word[rows], dx[rows, :WORD_DIM])
         counts = np.diff(w.gram_at)[rows]
         spots = np.repeat(w.gram_at[rows] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        g["gram"] = (w.gram[spots], np.repeat(dx[rows, WORD_DIM:] / counts[:, None], counts, axis=0))
+        g["gram"] = (w.gram[spots], np.repeat(dx[rows, WORD_DIM : WORD_DIM + GRAM_DIM] / counts[:, None], counts, axis=0))
+        g["front"] = (w.front[rows].ravel(), np.repeat(dx[rows, WORD_DIM + GRAM_DIM :] / len(FRONTS), len(FRONTS), axis=0))
         return g, loss
 
 
@@ -219,7 +243,7 @@ def placed(first: np.ndarray, length: np.ndarray, pad: int) -> np.ndarray:
     return np.where(t < length, first + t, pad)
 
 
-def train(texts: Sequence[bytes], y: np.ndarray, seed: int = 3, updates: int = 120, batch: int = 64, rate: float = 0.02) -> Model:
+def train(texts: Sequence[bytes], y: np.ndarray, seed: int = 3, updates: int = 180, batch: int = 64, rate: float = 0.02) -> Model:
     """Adam steps on windows of a bounded set of labelled texts; the vectors' first coordinates start at how surely they tell the labels apart."""
     model = Model.fresh(seed)
     if not len(y) or y.min() == y.max():
@@ -232,18 +256,21 @@ def train(texts: Sequence[bytes], y: np.ndarray, seed: int = 3, updates: int = 1
     owned = np.searchsorted(text, np.arange(len(texts) + 1))
     good, bad = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    top = np.zeros(0)
+    top, worst = np.zeros(0), good
     for step in range(updates):
-        x = model.inputs(w)
-        if step % 30 == 0:  # find each document's highest window again
-            z = model.logits(x, first, length)
-            order = np.lexsort((z, text))
-            top = order[owned[1:] - 1]
-        some, other = r.choice(bad, batch), r.choice(good, batch)
-        spare = r.choice(good, batch)
-        take = np.concatenate([top[some], top[other], owned[spare] + (r.random(batch) * np.diff(owned)[spare]).astype(np.int64)])
-        goal = np.concatenate([np.ones(batch), np.zeros(2 * batch)]).astype(F32)
-        grads, _ = model.gradients(w, x, first[take], length[take], goal)
+        if step % 30 == 0:  # find each document's highest window again; at first that with the surest word
+            x = model.inputs(w)
+            z = model.logits(x, first, length) if step else _surest(x, first, length)
+            top = np.lexsort((z, text))[owned[1:] - 1]
+            worst = good[np.argsort(-z[top[good]])[: max(1, len(good) // 5)]]
+        some, other, spare = r.choice(bad, batch), r.choice(worst, batch // 2), r.choice(good, batch)
+        take = np.concatenate([top[some], top[other], top[spare], owned[spare] + (r.random(batch) * np.diff(owned)[spare]).astype(np.int64)])
+        goal = (np.arange(len(take)) < batch).astype(F32)
+        part, at = picked(w, first[take], length[take])
+        x = model.inputs(part)
+        x[:-1] *= r.random((len(x) - 1, 1)) > BLANK
+        x[:-1] += r.normal(0, NOISE, (len(x) - 1, DIM))
+        grads, _ = model.gradients(part, x.astype(F32), at, length[take], goal)
         now = rate * (1 - step / (updates + 1))
         for k, g in grads.items():
             m, v = state[k]
@@ -259,9 +286,14 @@ def train(texts: Sequence[bytes], y: np.ndarray, seed: int = 3, updates: int = 1
     return model
 
 
+def _surest(x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    sure = x[:, 0] + x[:, WORD_DIM] + x[:, WORD_DIM + GRAM_DIM]
+    return sure[placed(first, length, len(x) - 1)].max(axis=0)
+
+
 def _start_vectors(model: Model, w: Words, y: np.ndarray) -> None:
     doc = np.repeat(np.arange(len(y)), np.diff(w.text_at))
-    for name, code, owner, bits in (("word", w.word, doc, WORD_BITS), ("gram", w.gram, np.repeat(doc, np.diff(w.gram_at)), GRAM_BITS)):
+    for name, code, owner, bits in (("word", w.word, doc, WORD_BITS), ("front", w.front.ravel(), np.repeat(doc, len(FRONTS)), FRONT_BITS), ("gram", w.gram, np.repeat(doc, np.diff(w.gram_at)), GRAM_BITS)):
         pairs = np.unique(owner.astype(np.int64) << bits | code)
         code, toxic = pairs & ((1 << bits) - 1), y[pairs >> bits] == 1
         a, b = (np.bincount(code[pick], minlength=1 << bits) for pick in (toxic, ~toxic))
