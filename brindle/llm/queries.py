@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import common, fingerprint, mixing, secrets, sharding, token_rollup, toxicity, url_filter
+from brindle.llm import common, fingerprint, mixing, neardup, secrets, sharding, token_rollup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_iblt_fingerprint, op5_secret_scan, op6_curriculum_mix, op8_feistel_shards, op9_token_rollup, op10_toxicity)
+    f.__name__: f for f in (op1_url_filter, op2_iblt_fingerprint, op5_secret_scan, op6_curriculum_mix, op7_hyperminhash_dedup, op8_feistel_shards, op9_token_rollup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
