@@ -114,3 +114,15 @@ def curriculum_mix(
     # The hash breaks ties, so that documents that aren't taken spread over all the last partitions.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return out.repartitionByRange(parts, "__mix_position", "__mix_key").sortWithinPartitions("__mix_position", "__mix_key").drop("__mix_key")
+
+
+def repeat_taken(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns, in order of position.
+
+    The one document of a source that the mix cuts stays whole if at least half of it is taken.
+    """
+    sized = docs.withColumn("__mix_size", word_count(text_col))
+    mixed = curriculum_mix(sized, "__mix_size", source_col, id_col)
+    copies = F.expr("CASE WHEN __mix_taken > 0 THEN CAST(round(__mix_taken / __mix_size) AS INT) ELSE 0 END")
+    out = mixed.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import common, decontam, fingerprint, mixing, neardup, secrets, sharding, token_rollup, toxicity, url_filter
+from brindle.llm import common, decontam, fingerprint, mixing, neardup, quality, secrets, sharding, token_rollup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -71,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_iblt_fingerprint, op3_spaced_seed_decontam, op5_secret_scan, op6_curriculum_mix, op7_hyperminhash_dedup, op8_feistel_shards, op9_token_rollup, op10_toxicity)
+    f.__name__: f for f in (op1_url_filter, op2_iblt_fingerprint, op3_spaced_seed_decontam, op4_ordinal_quality, op5_secret_scan, op6_curriculum_mix, op7_hyperminhash_dedup, op8_feistel_shards, op9_token_rollup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
