@@ -93,6 +93,19 @@ def read_words(texts: Sequence[bytes]) -> Words:
     return Words(word, gram, gram_at, front, np.searchsorted(starts, at + 1))
 
 
+def read_all_words(texts: Sequence[bytes]) -> Words:
+    """read_words in steps of bounded size."""
+    parts = [read_words(texts[a:b]) for a, b in chunks(texts, STEP_BYTES)]
+    shifted = lambda arrays: np.concatenate([np.zeros(1, dtype=np.int64), *(np.diff(a) for a in arrays)]).cumsum()
+    return Words(
+        np.concatenate([p.word for p in parts]),
+        np.concatenate([p.gram for p in parts]),
+        shifted([p.gram_at for p in parts]),
+        np.concatenate([p.front for p in parts]),
+        shifted([p.text_at for p in parts]),
+    )
+
+
 def windows(text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of words and text of all windows; a text without words has one window of none."""
     n = np.diff(text_at)
@@ -250,7 +263,7 @@ def train(texts: Sequence[bytes], y: np.ndarray, seed: int = 3, updates: int = 1
         return model
     model.trained = True
     r = np.random.default_rng(seed)
-    w = read_words(texts)
+    w = read_all_words(texts)
     _start_vectors(model, w, y)
     first, length, text = windows(w.text_at)
     owned = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -259,11 +272,14 @@ def train(texts: Sequence[bytes], y: np.ndarray, seed: int = 3, updates: int = 1
     top, worst = np.zeros(0), good
     for step in range(updates):
         if step % 30 == 0:  # find each document's highest window again; at first that with the surest word
-            x = model.inputs(w)
-            z = model.logits(x, first, length) if step else _surest(x, first, length)
+            z = np.empty(len(first), dtype=F32)
+            for k in range(0, len(first), STEP_WINDOWS):
+                part, at = picked(w, first[k : k + STEP_WINDOWS], length[k : k + STEP_WINDOWS])
+                rank = model.logits if step else _surest
+                z[k : k + STEP_WINDOWS] = rank(model.inputs(part), at, length[k : k + STEP_WINDOWS])
             top = np.lexsort((z, text))[owned[1:] - 1]
             worst = good[np.argsort(-z[top[good]])[: max(1, len(good) // 5)]]
-        some, other, spare = r.choice(bad, batch), r.choice(worst, batch // 2), r.choice(good, batch)
+        some, other, spare = r.choice(bad, batch), r.choice(worst, batch), r.choice(good, batch)
         take = np.concatenate([top[some], top[other], top[spare], owned[spare] + (r.random(batch) * np.diff(owned)[spare]).astype(np.int64)])
         goal = (np.arange(len(take)) < batch).astype(F32)
         part, at = picked(w, first[take], length[take])
@@ -292,11 +308,18 @@ def _surest(x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _start_vectors(model: Model, w: Words, y: np.ndarray) -> None:
-    doc = np.repeat(np.arange(len(y)), np.diff(w.text_at))
-    for name, code, owner, bits in (("word", w.word, doc, WORD_BITS), ("front", w.front.ravel(), np.repeat(doc, len(FRONTS)), FRONT_BITS), ("gram", w.gram, np.repeat(doc, np.diff(w.gram_at)), GRAM_BITS)):
-        pairs = np.unique(owner.astype(np.int64) << bits | code)
-        code, toxic = pairs & ((1 << bits) - 1), y[pairs >> bits] == 1
-        a, b = (np.bincount(code[pick], minlength=1 << bits) for pick in (toxic, ~toxic))
+    counts = {k: [np.zeros(len(model.p[k]), dtype=np.int64) for _ in range(2)] for k in ("word", "front", "gram")}
+    for i in range(0, len(y), 200):
+        j = min(len(y), i + 200)
+        words = slice(w.text_at[i], w.text_at[j])
+        doc = np.repeat(np.arange(i, j), np.diff(w.text_at[i : j + 1]))
+        grams = np.repeat(doc, np.diff(w.gram_at[w.text_at[i] : w.text_at[j] + 1]))
+        for name, code, owner in (("word", w.word[words], doc), ("front", w.front[words].ravel(), np.repeat(doc, len(FRONTS))), ("gram", w.gram[w.gram_at[w.text_at[i]] : w.gram_at[w.text_at[j]]], grams)):
+            pairs = np.unique(owner.astype(np.int64) * len(model.p[name]) + code)
+            toxic = y[pairs // len(model.p[name])] == 1
+            for pick, total in zip((toxic, ~toxic), counts[name], strict=True):
+                total += np.bincount(pairs[pick] % len(model.p[name]), minlength=len(total))
+    for name, (a, b) in counts.items():
         # Signed root of the log-likelihood ratio against the share of toxic documents: a bucket seen in few documents says little.
         n, p = a + b, (y == 1).mean()
         g = 2 * (a * np.log(np.maximum(a, 1e-9) / np.maximum(n * p, 1e-9)) + b * np.log(np.maximum(b, 1e-9) / np.maximum(n * (1 - p), 1e-9)))
