@@ -7,13 +7,15 @@ sequence is one.  Documents link if 100 * intersection >= 75 * union, checked on
    bucket borrows the register of a bucket that a fixed order of preference picks, which keeps the chance of agreement).
    Documents with one set become one class.
 2. Bands of BAND registers are hashed; classes that agree in a band share a bucket.
-3. Candidates, in three passes that each skip what is connected already: each class with the bucket's first class that it
-   meets most often; with all other first classes; then, in buckets that still hold several components, all pairs of different
-   components if the bucket has up to SMALL classes, and else of buckets split again by a further band.
-   So no bucket is enumerated, whatever its size; two documents at the threshold meet in no bucket with chance 5e-6.
-4. The collision-corrected Jaccard estimate of two sketches must reach the threshold less LEEWAY (over five standard
-   deviations); then the full sets of those candidates are compared.
-5. Components by smallest label.
+3. Each class is compared with the first class of each bucket it is in (a star, not all pairs): the collision-corrected
+   Jaccard estimate of the two sketches must reach the threshold less LEEWAY (over five standard deviations).  What such
+   pairs connect is a family; two documents at the threshold meet in no bucket with chance 5e-6.
+4. The full sets of each class and the first class that it meets most often are compared, then those of the other pairs that no link
+   joins yet.
+5. A family that still has several components is finished exactly: its classes outside the largest component are queries against
+   all its classes, in blocks of about QUERIES and MEMBERS that share no task; a block counts intersections with posting lists.  Only
+   one link for each query and component leaves a block.
+6. Components by smallest label.
 
 Null and empty texts: no shingles, linked with nothing.  Very long texts: whole.  Repeated rows and equal texts: one class.  Null ids
 come after all others.  Empty table: empty result.  Only id and text are read, whatever other columns there are.
@@ -34,7 +36,7 @@ from brindle.llm.graph import components
 WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
-SMALL = 24
+QUERIES, MEMBERS = 128, 256
 LEEWAY = 0.2
 #: Fixed value: the constant of the chance that two unrelated registers agree.
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
@@ -115,81 +117,94 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(thin.mapInPandas(_sketches, f"id {kind}, n long, hi long, lo long, regs binary"), "sketches")
 
 
-class _Linker:
-    """Links between classes, found and checked pass by pass."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str):
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self.classes, self.percent = classes, percent
-        self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
-        self.repeats = _repeats(self.docs)
-
-    def _apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that no link joins yet and that weren't tested."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        if self.labels is not None:
-            for x in "ab":
-                pairs = pairs.join(self.labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
-            pairs = pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        return pairs
-
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all classes in pairs, made from the texts again."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        kind = self.docs.schema["id"].dataType.simpleString()
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                raw = utf8(pdf["text"])
-                for a, b in chunks(raw):
-                    some = shingle_sets(raw[a:b])
-                    yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "shingles": [s.tobytes() for s in some]})
-
-        made = self.docs.join(ids, "id", "left_semi").mapInPandas(sets, f"id {kind}, shingles binary")
-        return cut(made.dropDuplicates(["id"]) if self.repeats else made, "sets")
-
-    def test(self, pairs: DataFrame) -> None:
-        """Check candidate pairs; links join the labels."""
-        pairs = cut(self._apart(pairs), "pairs")
-        sides = [self.classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab"]
-        percent = self.percent
-
-        def likely(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for na, nb, ra, rb in batches:
-                a, b = (np.frombuffer(b"".join(r), dtype=np.uint16).reshape(-1, REGISTERS) for r in (ra, rb))
-                yield pd.Series(estimate(a, b, na.to_numpy(), nb.to_numpy()) >= percent / 100 - LEEWAY)
-
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb")
-        close = cut(pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b"), "close")
-        linked = self._verified(close) if close.limit(1).count() else close
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.links = linked if self.labels is None else self.links.unionByName(linked)
-        self.labels = components(self.links)
-
-    def _verified(self, close: DataFrame) -> DataFrame:
-        sets = self._sets(close)
-        percent = self.percent
-
-        def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for xs, ys in batches:
-                out = []
-                for x, y in zip(xs, ys, strict=True):
-                    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    out.append(100 * both >= percent * (len(a) + len(b) - both))
-                yield pd.Series(out, dtype=bool)
-
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        return cut(close.join(left, "a").join(right, "b").filter(F.pandas_udf(same, "boolean")("sa", "sb")).select("a", "b"), "links")
-
-    def mixed(self, members: DataFrame) -> DataFrame:
-        """Members (key, cls) of buckets with several components: with label and the bucket's size."""
-        named = members.join(self.labels, members.cls == self.labels.node, "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-        sizes = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        return cut(named.join(sizes.filter("low < high"), "key").select("key", "cls", "label", "size"), "mixed")
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow a link."""
+
+    def likely(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for na, nb, ra, rb in batches:
+            a, b = (np.frombuffer(b"".join(r), dtype=np.uint16).reshape(-1, REGISTERS) for r in (ra, rb))
+            yield pd.Series(estimate(a, b, na.to_numpy(), nb.to_numpy()) >= percent / 100 - LEEWAY)
+
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")), x)
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return cut(pairs.filter(sized).filter(F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb")).select("a", "b", "times"), "close")
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles): the whole sets of the classes in ids, from the texts."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = utf8(pdf["text"])
+            for a, b in chunks(raw):
+                some = shingle_sets(raw[a:b])
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "shingles": [s.tobytes() for s in some]})
+
+    made = docs.join(ids, "id", "left_semi").mapInPandas(sets, f"id {kind}, shingles binary")
+    return cut(made.dropDuplicates(["id"]) if _repeats(docs) else made, "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets link."""
+
+    def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in batches:
+            out = []
+            for x, y in zip(xs, ys, strict=True):
+                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pd.Series(out, dtype=bool)
+
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return cut(pairs.join(left, "a").join(right, "b").filter(F.pandas_udf(same, "boolean")("sa", "sb")).select("a", "b"), "links")
+
+
+def _labelled(nodes: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    """nodes with the label of a column's class (itself, if no link has it yet)."""
+    named = labels.select(F.col("node").alias(column), F.col("label").alias("__label"))
+    return nodes.join(named, column, "left").withColumn(name, F.coalesce("__label", column)).drop("__label")
+
+
+def _family_links(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a family: what lies outside its largest component against all of it."""
+    rows = _labelled(families.select(F.col("node").alias("id"), F.col("label").alias("family")), "id", labels, "label")
+    parts = rows.groupBy("family", "label").agg(F.count("*").alias("held"))
+    sizes = parts.groupBy("family").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("size"))
+    sizes = sizes.filter("most < size").select(
+        "family", "main", F.expr(f"CAST(ceil((size - most) / {QUERIES}) AS INT)").alias("query_blocks"), F.expr(f"CAST(ceil(size / {MEMBERS}) AS INT)").alias("member_blocks")
+    )
+    rows = cut(rows.join(sizes, "family"), "family")
+    block = lambda of, salt: F.expr(f"CAST(pmod(xxhash64(id, {salt}), {of}) AS INT)")
+    every = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
+    queries = rows.filter("label <> main").withColumn("q", block("query_blocks", 1)).withColumn("m", every("member_blocks")).withColumn("query", F.lit(True))
+    members = rows.withColumn("m", block("member_blocks", 2)).withColumn("q", every("query_blocks")).withColumn("query", F.lit(False))
+    dealt = queries.unionByName(members).join(sets, "id").select("family", "q", "m", "query", "id", "label", "shingles")
+    kind = families.schema["node"].dataType.simpleString()
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["query"]], pdf[~pdf["query"]]
+        held = [np.frombuffer(x, dtype=np.uint64) for x in b["shingles"]]
+        sizes = np.array([len(x) for x in held], dtype=np.int64)
+        words, ids, labels = (np.concatenate(held) if held else np.zeros(0, np.uint64)), b["id"].to_numpy(), b["label"].to_numpy()
+        order = np.argsort(words, kind="stable")
+        owner, words = np.repeat(np.arange(len(held)), sizes)[order], words[order]
+        out: list[tuple] = []
+        for one, label, raw in zip(a["id"], a["label"], a["shingles"], strict=True):
+            s = np.frombuffer(raw, dtype=np.uint64)
+            low, high = np.searchsorted(words, s, "left"), np.searchsorted(words, s, "right")
+            n = high - low
+            spots = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[spots], minlength=len(held))
+            near = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (labels != label))
+            _, first = np.unique(labels[near], return_index=True)
+            out += [(one, ids[i]) for i in near[first]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return cut(dealt.groupBy("family", "q", "m").applyInPandas(link, f"a {kind}, b {kind}"), "links")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -197,11 +212,11 @@ def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy("id").count().filter("count > 1").limit(1).count())
 
 
-def _bands(classes: DataFrame, key: str = "b") -> DataFrame:
-    """(key, cls) for each band; key: an expression over b that the band's registers join."""
+def _bands(classes: DataFrame) -> DataFrame:
+    """(key, cls) for each band."""
     wide = 2 * BAND
     return classes.withColumn("b", F.explode(F.expr(f"sequence(0, {BANDS - 1})"))).select(
-        F.expr(f"xxhash64({key}, substring(regs, b * {wide} + 1, {wide}))").alias("key"), "cls"
+        F.expr(f"xxhash64(b, substring(regs, b * {wide} + 1, {wide}))").alias("key"), "cls"
     )
 
 
@@ -210,29 +225,23 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     table = sketch_table(docs, id_col, text_col)
     by = ["hi", "lo", "n"]
     classes = cut(table.filter("n > 0 AND id IS NOT NULL").groupBy(*by).agg(F.min("id").alias("cls"), F.min("regs").alias("regs")), "classes")
-    linker = _Linker(docs, classes, percent, id_col, text_col)
-
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bands = _bands(classes)
     buckets = bands.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(bands.join(buckets, "key"), "members")
-    met = members.filter("cls <> first").groupBy(F.col("first").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times"))
-    met = cut(met, "met")
-    linker.test(met.groupBy("b").agg(F.max_by("a", "times").alias("a")).select("a", "b"))
-    linker.test(met.select("a", "b"))
-
-    # Buckets with several components: all cross pairs of small ones; large ones are split by further bands.
-    mixed, depth = linker.mixed(members.select("key", "cls")), 1
-    while True:
-        small = mixed.filter(f"size <= {SMALL}")
-        x, y = (small.select("key", F.col("cls").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        linker.test(x.join(y, "key").filter("a < b AND la <> lb").select("a", "b").distinct())
-        large = mixed.filter(f"size > {SMALL}")
-        if depth >= BANDS or not large.limit(1).count():
-            break
-        split = large.select("key", "cls").join(classes.select("cls", "regs"), "cls")
-        mixed, depth = linker.mixed(_bands(split, "key, b").distinct()), depth + 1
-
-    named = classes.join(linker.labels, classes.cls == linker.labels.node, "left").select(*by, F.coalesce("label", "cls").alias("component_id"))
+    met = bands.join(buckets, "key").filter("cls <> first").groupBy(F.col("first").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times"))
+    close = _close(cut(met, "met"), classes, percent)
+    families = components(close)
+    sets = _full_sets(thin, families.select(F.col("node").alias("id")))
+
+    best = cut(close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "best")
+    links = _linked(best, sets, percent)
+    labels = components(links)
+    rest = _labelled(_labelled(close.join(best, ["a", "b"], "left_anti"), "a", labels, "la"), "b", labels, "lb").filter("la <> lb")
+    links = links.unionByName(_linked(rest.select("a", "b"), sets, percent))
+    labels = components(links)
+    labels = components(links.unionByName(_family_links(families, labels, sets, percent)))
+
+    named = classes.join(labels, classes.cls == labels.node, "left").select(*by, F.coalesce("label", "cls").alias("component_id"))
     out = table.filter("n > 0 AND id IS NOT NULL").drop("regs").join(named, by)
     rest = table.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return (
