@@ -5,7 +5,7 @@ starts at the space before the word marks its front), and the mean of its hashed
 that overlap by WINDOW - STRIDE; attention pools the states, a logistic layer scores the pool, and a document's score is
 that of its highest window.  Every window of the whole text is scored.
 
-The network is trained in numpy on the driver on a bounded sample (`per_class` documents of each label, whole texts), by labels
+The network is trained in numpy on the driver on a bounded sample (about 1000 toxic and 1500 other documents, whole texts), by labels
 of the training part only: rows whose crc32(doc_id as text) mod 3 is not 1.  Each step takes the highest window of some toxic
 documents, and the highest and a random window of some others.  Labels, language, source and id are never inputs.
 
@@ -73,7 +73,7 @@ def read_words(texts: Sequence[bytes]) -> Words:
     c = plain[:-3] * np.uint32(0x9E3779B1) + plain[1:-2] * np.uint32(0x85EBCA77) + plain[2:-1] * np.uint32(0xC2B2AE3D) + plain[3:] * np.uint32(0x27D4EB2F)
     c ^= c >> np.uint32(15)
     c *= np.uint32(0x2C1B3C6D)
-    code = (c >> np.uint32(32 - GRAM_BITS)).astype(np.int32)
+    code = (c >> np.uint32(32 - GRAM_BITS)).astype(np.uint16)
     # Grams of a word: from the space before it to the one that ends with it; at least one.
     n = np.maximum(ends - starts - 2, 1)
     gram_at = np.zeros(len(n) + 1, dtype=np.int64)
@@ -83,9 +83,9 @@ def read_words(texts: Sequence[bytes]) -> Words:
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[buf] * up[: len(buf)], out=total[1:])
     base, back = total[starts], down[starts]
-    bucket = lambda to, bits: (mix64((total[to] - base) * back) >> np.uint64(64 - bits)).astype(np.int32)
+    bucket = lambda to, bits: (mix64((total[to] - base) * back) >> np.uint64(64 - bits)).astype(np.uint16)
     word = bucket(ends, WORD_BITS)
-    front = np.empty((len(starts), len(FRONTS)), dtype=np.int32)
+    front = np.empty((len(starts), len(FRONTS)), dtype=np.uint16)
     for j, k in enumerate(FRONTS):
         front[:, j] = bucket(np.minimum(starts + k, ends), FRONT_BITS)
     at = np.zeros(len(texts) + 1, dtype=np.int64)
@@ -327,16 +327,16 @@ def _start_vectors(model: Model, w: Words, y: np.ndarray) -> None:
         model.p[name][:, 0] = np.sign(a - n * p) * np.clip((root - SURE) / 2, 0, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most about per_class labelled documents of each label, drawn by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, other: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on at most about that many toxic and other labelled documents, drawn by a hash of the id."""
     y = labels.select(F.col(id_col).alias("id"), F.col("toxic")).groupBy("id").agg(F.max("toxic").alias("y")).filter("y IS NOT NULL")
     y = y.filter(~held_out("id"))
     sizes = {r[0]: r[1] for r in y.groupBy("y").count().collect() if r[0] in (0, 1)}  # two rows
     if len(sizes) < 2:
         return Model.fresh(0)
-    share = F.when(F.col("y") == 1, F.lit(per_class / sizes[1])).otherwise(F.lit(per_class / sizes[0]))
+    share = F.when(F.col("y") == 1, F.lit(toxic / sizes[1])).otherwise(F.lit(other / sizes[0]))
     drawn = y.filter((F.col("y") == 0) | (F.col("y") == 1)).filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))
-    # At most about 2 * per_class ids: a bounded side.
+    # About toxic + other ids at most: a bounded side.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").orderBy("id").toPandas()
     return train(utf8(rows["text"]), rows["y"].to_numpy())
 
