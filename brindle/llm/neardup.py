@@ -36,7 +36,7 @@ from brindle.llm.graph import components
 WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
-QUERIES, MEMBERS = 128, 256
+QUERIES, MEMBERS = 64, 128
 LEEWAY = 0.2
 #: Fixed value: the constant of the chance that two unrelated registers agree.
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
