@@ -68,7 +68,7 @@ def curriculum_mix(
     budget: float = BUDGET,
     cap: float = CAP,
     slopes: Sequence[float] = SLOPES,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 4_000,
 ) -> DataFrame:
     """docs with __mix_source_size, __mix_target, __mix_taken and __mix_position, sorted by range of position.
 
