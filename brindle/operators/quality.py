@@ -173,7 +173,7 @@ def quality_scores(df: DataFrame, rules: Rules | None = None, reference_date: st
     parts = cols.agg(
         F.avg(F.lit(100.0) - F.col("nulls") * 100.0 / n).alias("completeness"),
         F.avg(F.col("unique_count") * 100.0 / n).alias("distinct_share"),
-        F.avg(F.greatest(F.lit(0), n - F.col("invalid")) * 100.0 / n).alias("validity"),
+        F.avg(F.when(F.col("invalid").isNotNull(), F.greatest(F.lit(0), n - F.col("invalid")) * 100.0 / n)).alias("validity"),
         F.max(n).alias("n"),
     )
     numbers = [f.name for f in df.schema.fields if is_number(f.dataType)]
