@@ -69,10 +69,12 @@ def curriculum_mix(
     cap: float = CAP,
     slopes: Sequence[float] = SLOPES,
     rows_per_bucket: int = 4_000,
+    each_copy: bool = False,
 ) -> DataFrame:
     """docs with __mix_source_size, __mix_target, __mix_taken and __mix_position, sorted by range of position.
 
-    size_col must be a non-null long; weights and slopes repeat over the sources by code point.
+    size_col must be a non-null long; weights and slopes repeat over the sources by code point.  A row a document, with the position
+    of its first pass; or with each_copy a row for each pass that takes it (the cut one if at least half of it is taken), at its own position.
     """
     n = docs.select(source_col).count()
     digits = max(1, (n // rows_per_bucket).bit_length() // 4 + 1)
@@ -105,7 +107,11 @@ def curriculum_mix(
                 CAST(floor(__mix_target) AS BIGINT) - __mix_passes * __mix_source_size - __mix_c))"""
         ),
     )
-    u = "(__mix_c / __mix_target)"
+    if each_copy:
+        last = f"(__mix_passes + CASE WHEN 2 * (__mix_taken - __mix_passes * `{size_col}`) >= `{size_col}` THEN 1 ELSE 0 END)"
+        out = out.withColumn("__mix_copy", F.explode(F.expr(f"CASE WHEN `{size_col}` > 0 AND {last} > 0 THEN sequence(0L, {last} - 1) END")))
+        out = out.withColumn("__mix_c", F.expr("__mix_c + __mix_copy * __mix_source_size"))
+    u = "least(1D, __mix_c / __mix_target)"
     out = out.withColumn(
         "__mix_position",
         F.expr(f"CASE WHEN __mix_taken > 0 THEN 2 * {u} / ((1 - __mix_slope) + sqrt((1 - __mix_slope) * (1 - __mix_slope) + 4 * __mix_slope * {u})) END"),
@@ -117,12 +123,10 @@ def curriculum_mix(
 
 
 def repeat_taken(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns, in order of position.
+    """The documents as often as the mix takes them, with all their columns, each pass at its own position, in order of position.
 
     The one document of a source that the mix cuts stays whole if at least half of it is taken.
     """
     sized = docs.withColumn("__mix_size", word_count(text_col))
-    mixed = curriculum_mix(sized, "__mix_size", source_col, id_col)
-    copies = F.expr("CASE WHEN __mix_taken > 0 THEN CAST(round(__mix_taken / __mix_size) AS INT) ELSE 0 END")
-    out = mixed.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    mixed = curriculum_mix(sized, "__mix_size", source_col, id_col, each_copy=True)
+    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns))
