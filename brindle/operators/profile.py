@@ -73,6 +73,11 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     return pairs.select("p.*").groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("unique_count"))
 
 
+def with_counts(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """rows (one a column) with unique_count; 0 for an empty table."""
+    return rows.join(distinct_counts(df), "column", "left").fillna(0, ["unique_count"])
+
+
 def profile(df: DataFrame) -> DataFrame:
     """column, dtype, row_count, null_count, unique_count (null is a value), min, max, mean, std (sample; numbers only), min and max as text."""
     null = F.lit(None)
@@ -91,7 +96,7 @@ def profile(df: DataFrame) -> DataFrame:
         measures[f.name]["dtype"] = F.max(measures[f.name]["dtype"])
         if not number:
             measures[f.name]["mean"] = measures[f.name]["std"] = F.max(null.cast("double"))
-    return stacked(df, measures).join(distinct_counts(df), "column").select("column", "dtype", "row_count", "null_count", "unique_count", "min", "max", "mean", "std")
+    return with_counts(stacked(df, measures), df).select("column", "dtype", "row_count", "null_count", "unique_count", "min", "max", "mean", "std")
 
 
 def detect_patterns(df: DataFrame, least: float = 70.0, sample: int | None = None) -> DataFrame:
@@ -113,8 +118,7 @@ def numeric_characteristics(df: DataFrame, columns: list[str] | None = None) ->
     for name in columns:
         c = F.col(f"`{name}`").cast("double")
         measures[name] = {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "has_negatives": F.coalesce(F.bool_or(c < 0), F.lit(False)), "all_integers": F.coalesce(F.bool_and(c == F.floor(c)), F.lit(True)), "rows": F.count(F.lit(1)), "nulls": F.count_if(c.isNull())}
-    unique = distinct_counts(df.select(*columns))
-    return stacked(df, measures).join(unique, "column").select("column", "min", "max", "mean", "has_negatives", "all_integers", ((F.col("nulls") == 0) & F.col("all_integers") & (F.col("unique_count") == F.col("rows"))).alias("likely_id"))
+    return with_counts(stacked(df, measures), df.select(*columns)).select("column", "min", "max", "mean", "has_negatives", "all_integers", ((F.col("nulls") == 0) & F.col("all_integers") & (F.col("unique_count") == F.col("rows"))).alias("likely_id"))
 
 
 def string_characteristics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -126,8 +130,7 @@ def string_characteristics(df: DataFrame, columns: list[str] | None = None) -> D
         n = F.length(c)
         has = lambda r, c=c: F.coalesce(F.bool_or(c.rlike(r)), F.lit(False))
         measures[name] = {"min_length": F.min(n), "max_length": F.max(n), "avg_length": F.avg(n), "all_same_length": F.min(n) == F.max(n), "contains_digits": has(r"[0-9]"), "contains_letters": has(r"[a-zA-Z]"), "rows": F.count(F.lit(1))}
-    unique = distinct_counts(df.select(*columns))
-    return stacked(df, measures).join(unique, "column").withColumn("unique_ratio", F.try_divide(F.col("unique_count").cast("double"), F.col("rows"))).drop("rows", "unique_count")
+    return with_counts(stacked(df, measures), df.select(*columns)).withColumn("unique_ratio", F.try_divide(F.col("unique_count").cast("double"), F.col("rows"))).drop("rows", "unique_count")
 
 
 def semantic_type(name: str) -> str:

@@ -9,7 +9,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.profile import distinct_counts, is_number, stacked
+from brindle.operators.profile import is_number, stacked, with_counts
 
 #: Weights of the dimensions, grade bounds, common patterns.
 WEIGHTS = {"completeness": 0.25, "uniqueness": 0.20, "validity": 0.20, "accuracy": 0.15, "consistency": 0.10, "timeliness": 0.10}
@@ -150,7 +150,7 @@ def column_metrics(df: DataFrame, rules: Rules) -> DataFrame:
             "present": F.count(c),
             "invalid": F.sum(sum((F.coalesce(b.cast("long"), F.lit(0)) for b in bad), F.lit(0))) if bad else F.max(F.lit(None).cast("long")),
         }
-    return stacked(df, measures).join(distinct_counts(df), "column")
+    return with_counts(stacked(df, measures), df)
 
 
 def _auto_checks(df: DataFrame, rules: Rules) -> list[dict]:

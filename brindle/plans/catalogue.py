@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import distributions, rng
 from brindle.operators import anonymize, filters, generate, hierarchy, mapping, pii, pipeline, profile, quality, relational, relationships, sql, subset, validate
 from brindle.plans import specs
+from brindle.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -402,17 +403,21 @@ def _profile_sql(table: str, cols: dict[str, str]) -> str:
 
 
 _CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
-_PROFILE_COLS = ["column", "dtype", "row_count", "null_count", "unique_count", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std")]
+
+
+
+def _rounded_profile(df: DataFrame) -> DataFrame:
+    return profile.profile(df).select("column", "dtype", "row_count", "null_count", "unique_count", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"))
 
 
 @query(_profile_sql("customer", _CUSTOMER))
 def profile_columns(spark, d):
-    return profile.profile(t(spark, d, "customer")).select(*_PROFILE_COLS)
+    return _rounded_profile(t(spark, d, "customer"))
 
 
 @query(f"WITH {ORDERS_NULLS} " + _profile_sql("orders_nulls", {"o_totalprice": "double", "o_orderstatus": "string"}))
 def profile_nulls(spark, d):
-    return profile.profile(orders_nulls(spark, d).select("o_totalprice", "o_orderstatus")).select(*_PROFILE_COLS)
+    return _rounded_profile(orders_nulls(spark, d).select("o_totalprice", "o_orderstatus"))
 
 
 @query("""
@@ -596,7 +601,7 @@ def _off(c):
   UNION ALL SELECT 'accuracy', ({_off('o_orderkey')} + {_off('o_custkey')} + {_off('o_totalprice')}) / 3, 0.15::DOUBLE
   UNION ALL SELECT 'consistency', count(*) FILTER (start_at <= end_at) * 100.0 / count(*), 0.1::DOUBLE FROM dm
   UNION ALL SELECT 'timeliness', greatest(0.0, 100.0 - (date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-31') - 100) / 100.0 * 100.0), 0.1::DOUBLE FROM dm)
-SELECT dimension, round(score, 2) AS score, weight, round(round(score, 2) * weight, 2) AS weighted_contribution FROM s""")
+SELECT dimension, round(score, 2) AS score, weight, CAST(round(CAST(CAST(round(score, 2) * weight AS VARCHAR) AS DECIMAL(30,15)), 2) AS DOUBLE) AS weighted_contribution FROM s""")
 def quality_overall(spark, d):
     return quality.quality_scores(damaged(spark, d), RULES, "2001-12-31")
 
@@ -626,7 +631,7 @@ def quality_issues(spark, d):
 @query("""
 WITH v AS (SELECT DISTINCT c_nationkey AS a FROM customer), n AS (SELECT count(*) AS k FROM v JOIN nation ON a = n_nationkey), s AS (SELECT count(*) AS k FROM v JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON a = s_nationkey)
 SELECT 'customer' AS source_file, 'c_nationkey' AS source_column, 'nation' AS target_file, 'n_nationkey' AS target_column, 'exact' AS match_type, round((SELECT k FROM n) / count(*), 2) AS match_confidence FROM v
-UNION ALL SELECT 'customer', 'c_nationkey', 'supplier', 's_nationkey', 'exact', round((SELECT k FROM s) / count(*), 2) FROM v""")
+UNION ALL SELECT 'customer', 'c_nationkey', 'supplier', 's_nationkey', 'exact', round((SELECT k FROM s) / count(*), 2) FROM v HAVING (SELECT k FROM s) / count(*) > 0.7""")
 def mapping_discover_exact(spark, d):
     found = mapping.discover({n: t(spark, d, n) for n in ("customer", "nation", "supplier")}, source="customer")
     return found.filter("source_column = 'c_nationkey' AND target_column IN ('n_nationkey', 's_nationkey')")
@@ -1063,3 +1068,25 @@ def sampler_discrete(spark, d):
 def powerbi_optimize(spark, d):
     out, _ = profile.narrowed(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     return out.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("l_quantity"))
+
+
+# ---- event windows (the same functions run on a stream) --------------------------------------------------------------------
+
+
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def events_tumbling(spark, d):
+    return stream.windowed(t(spark, d, "events")).withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_sessions(spark, d):
+    return stream.sessions(t(spark, d, "events"), gap="6 hours")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS \"rows\", count(*) FILTER (NOT coalesce(value >= 1 AND event_type IN ('view', 'click', 'purchase'), false)) AS violations FROM events GROUP BY ALL")
+def events_violations(spark, d):
+    return stream.violations(t(spark, d, "events"), [{"column": "value", "operator": ">=", "value": 1}, {"column": "event_type", "operator": "in", "value": ["view", "click", "purchase"]}])

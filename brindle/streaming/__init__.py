@@ -1 +1 @@
-
+"""Structured Streaming variants of checks and measures."""
