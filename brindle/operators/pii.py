@@ -143,7 +143,7 @@ def detect_pii(df: DataFrame, threshold: float = 0.5, sample: int | None = None,
     Of all rows, or of a sample drawn by a hash of the row.  Both signs: at most 0.98 of 0.4 * name + 0.6 * content; the name alone counts 0.7 of
     itself; content alone counts as it is."""
     if sample:
-        df = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct("*"))))).limit(sample)
+        df = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))).limit(sample)
     named = [(c, t, v) for c in df.columns for t, v in name_confidence(c).items()]
     names = df.sparkSession.createDataFrame(named, "column string, pii_type string, name_conf double")
     found = match_rates(df, validated=validated).withColumn("content_conf", _content_confidence(F.col("match_rate")))
