@@ -175,21 +175,26 @@ def check_hierarchy(totals: DataFrame, expected: float | None = None, tolerance:
 # ---- outliers ------------------------------------------------------------------------------------------------------------
 
 
-def nearest_rank(values: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+def nearest_rank(values: DataFrame, quantiles: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """values (column, v): for each column the value at row round((n - 1) * q), in order, without sorting a column in one task.
 
-    Equal values collapse first; counts of ranges of values find the range that holds the rank, and only that range is sorted."""
-    counts = values.filter("v IS NOT NULL AND NOT isnan(v)").groupBy("column", "v").agg(F.count("*").alias("c"))
-    spread = counts.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    bins = 4096
-    held = counts.join(F.broadcast(spread), "column").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0))
-    sizes = held.groupBy("column", "bin").agg(F.sum("c").alias("size"))
-    before = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    wanted = spread.select("column", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.expr(f"CAST(round((n - 1) * {q!r}D) AS BIGINT)").alias("rank")) for q in quantiles))).alias("w")).select("column", "w.*")
-    spots = sizes.join(F.broadcast(wanted), "column").filter("rank >= base AND rank < base + size").select("column", "bin", "q", "rank", "base")
-    ranked = held.join(spots, ["column", "bin"]).withColumn("upto", F.col("base") + F.sum("c").over(Window.partitionBy("column", "bin", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter("rank < upto").groupBy("column", "q").agg(F.min("v").alias("value"))
+    A quantile sketch, whatever the distribution, brackets each rank between two values; rows below the bracket are counted, and only the
+    distinct values inside it (about 4 / accuracy of the rows) are sorted."""
+    held = values.filter("v IS NOT NULL AND NOT isnan(v)")
+    e = 2.0 / accuracy
+    edges = ", ".join(f"{max(0.0, q - e)!r}D, {min(1.0, q + e)!r}D" for q in quantiles)
+    sketch = held.groupBy("column").agg(F.expr(f"percentile_approx(v, array({edges}), {accuracy})").alias("at"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    one = lambda i, q: F.struct(
+        F.lit(q).alias("q"),
+        F.expr(f"CAST(round((n - 1) * {q!r}D) AS BIGINT)").alias("rank"),
+        (F.col("lo") if q - e <= 0 else F.col("at")[2 * i]).alias("low"),
+        (F.col("hi") if q + e >= 1 else F.col("at")[2 * i + 1]).alias("high"),
+    )
+    brackets = sketch.select("column", F.explode(F.array(*(one(i, float(q)) for i, q in enumerate(quantiles)))).alias("b")).select("column", "b.*")
+    rows = held.join(F.broadcast(brackets), "column").filter("v <= high")  # a row a column and quantile
+    counts = rows.groupBy("column", "q", "rank", F.when(F.col("v") < F.col("low"), F.lit(None)).otherwise(F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("column", "q").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("upto", upto).filter("v IS NOT NULL AND rank < upto").groupBy("column", "q").agg(F.min("v").alias("value"))
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
