@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import rng
@@ -165,3 +165,49 @@ def consistent_synthetic(c: Column, kind: str, seed: int) -> Column:
 
 def detokenize(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
     return df.join(lookup.select(F.col("token").alias("__token"), F.col("value").alias("__value")), F.col(f"`{column}`") == F.col("__token"), "left").withColumn(column, F.col("__value")).drop("__token", "__value")
+
+
+class TokenStore:
+    """Tokens that stay the same over many tables: a Parquet table (column, value, token) for each version of the store.
+
+    New values are numbered after the ones that are there; every version is written beside the last, which a job that dies leaves untouched."""
+
+    SCHEMA = "column string, value string, token string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        top = self._hadoop(self.path)
+        names = (s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else ()
+        return sorted(n for n in names if self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS")))
+
+    def table(self) -> DataFrame:
+        held = self._versions()
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{held[-1]}") if held else self.spark.createDataFrame([], self.SCHEMA)
+
+    def tokens(self, df: DataFrame, column: str, prefix: str = "TKN_") -> DataFrame:
+        """df with the column's values replaced by their tokens; new values are kept."""
+        held = self.table()
+        mine = held.filter(F.col("column") == column)
+        new = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value IS NOT NULL").distinct().join(mine.select("value"), "value", "left_anti")
+        last = mine.agg(F.max(F.regexp_extract("token", r"([0-9]+)$", 1).cast("long"))).first()[0] or 0
+        named = tokens(new, "value", prefix).select(F.lit(column).alias("column"), "value", F.concat(F.lit(prefix), F.lpad((F.regexp_extract("token", r"([0-9]+)$", 1).cast("long") + last).cast("string"), 6, "0")).alias("token"))
+        held.unionByName(named).write.parquet(f"{self.path}/{len(self._versions()):08d}")
+        lookup = self.table().filter(F.col("column") == column).select(F.col("value").alias("__value"), F.col("token").alias("__token"))
+        return df.join(lookup, F.col(f"`{column}`").cast("string") == F.col("__value"), "left").withColumn(column, F.col("__token")).drop("__value", "__token")
+
+    def original(self, df: DataFrame, column: str) -> DataFrame:
+        return detokenize(df, column, self.table().filter(F.col("column") == column))
+
+    def load(self, lookup: DataFrame) -> None:
+        """Take over a lookup table (column, value, token) as the next version."""
+        lookup.select("column", "value", "token").write.parquet(f"{self.path}/{len(self._versions()):08d}")
+
+    def stats(self) -> DataFrame:
+        return self.table().groupBy("column").agg(F.count("*").alias("tokens"))
+
+    def reset(self) -> None:
+        self._fs.delete(self._hadoop(self.path), True)

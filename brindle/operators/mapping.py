@@ -47,9 +47,9 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_col: str, right_col: s
     return scored.groupBy("source").agg(F.min_by(F.struct("target", "ratio"), F.struct(-F.col("ratio"), F.col("target"))).alias("m")).select("source", "m.target", "m.ratio")
 
 
-def discover(tables: dict[str, DataFrame], threshold: float = 0.7, source: str | None = None) -> DataFrame:
+def discover(tables: dict[str, DataFrame], threshold: float = 0.7, source: str | None = None, fuzzy: bool = False) -> DataFrame:
     """source_file, source_column, target_file, target_column, match_type, match_confidence: columns whose distinct values are found in another column
-    for more than the threshold, exactly or else (for texts) by fuzzy match."""
+    for more than the threshold: exactly, or else (with fuzzy, between text columns) by fuzzy match of all distinct values."""
     found = overlaps(tables, 1)
     flip = found.select(
         F.col("target_table").alias("source_table"), F.col("target_column").alias("source_column"), F.col("source_table").alias("target_table"), F.col("source_column").alias("target_column"), F.col("distinct_b").alias("distinct_a"), "shared"
@@ -58,7 +58,22 @@ def discover(tables: dict[str, DataFrame], threshold: float = 0.7, source: str |
     if source:
         both = both.filter(F.col("source_table") == source)
     shape = ["source_file", "source_column", "target_file", "target_column", "match_type", "match_confidence"]
-    return both.filter(F.col("r") > threshold).select(F.col("source_table").alias(shape[0]), "source_column", F.col("target_table").alias(shape[2]), "target_column", F.lit("exact").alias(shape[4]), F.round("r", 2).alias(shape[5]))
+    exact = both.filter(F.col("r") > threshold).select(F.col("source_table").alias(shape[0]), "source_column", F.col("target_table").alias(shape[2]), "target_column", F.lit("exact").alias(shape[4]), F.round("r", 2).alias(shape[5]))
+    if not fuzzy:
+        return exact
+    texts = {n: [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)] for n, df in tables.items()}
+    near = None
+    for a in tables if source is None else [source]:
+        for b in (n for n in tables if n != a):
+            for x in texts[a]:
+                for y in texts[b]:
+                    n = trimmed(tables[a], x, "source").distinct().agg(F.count("*").alias("n"))
+                    hit = fuzzy_matches(tables[a], tables[b], x, y, threshold).agg(F.count("*").alias("k")).crossJoin(n)  # one row each
+                    row = hit.select(F.lit(a).alias(shape[0]), F.lit(x).alias(shape[1]), F.lit(b).alias(shape[2]), F.lit(y).alias(shape[3]), F.lit("fuzzy").alias(shape[4]), F.round(F.try_divide(F.col("k"), F.col("n")), 2).alias(shape[5]))
+                    near = row if near is None else near.unionByName(row)
+    if near is None:
+        return exact
+    return exact.unionByName(near.filter(F.col(shape[5]) > threshold).join(exact.select(*shape[:4]), shape[:4], "left_anti"))
 
 
 def fuzzy_column_match(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = 0.7) -> float:

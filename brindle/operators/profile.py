@@ -69,7 +69,12 @@ def stacked(df: DataFrame, measures: dict[str, dict[str, Column]], key: str = "c
 
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(column, unique_count), null counted as a value: one pass and one shuffle of (column, value) pairs, whatever the number of columns."""
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias("value")) for c in df.columns))).alias("p"))
+
+    def text(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(c.alias("v")))
+
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), text(f).alias("value")) for f in df.schema.fields))).alias("p"))
     return pairs.select("p.*").groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("unique_count"))
 
 

@@ -129,14 +129,18 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "literal", value=None
         if order_by is None:
             raise ValueError(f"{strategy} needs order_by")
         return _fill_ordered(df, column, strategy, order_by, list(partition_by))
-    found = {"mean": F.avg(c), "median": F.median(c), "mode": F.mode(c, True)}.get(strategy)
-    if found is None:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "mode" or strategy == "median":  # counts a value first: distinct values, not rows, meet in one place
+    if strategy == "mean":
+        one = df.agg(F.avg(c).alias("__fill"))
+    elif strategy == "median":
+        from brindle.operators.validate import exact_median
+
+        one = exact_median(df.select(F.lit(column).alias("column"), c.cast("double").alias("v"))).select(F.col("median").alias("__fill"))
+    elif strategy == "mode":  # values are counted first: one row a value meets in the end
         counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-        one = counts.agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("__fill")) if strategy == "mode" else counts.agg(F.expr("percentile(v, 0.5, n)").alias("__fill"))
+        one = counts.agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("__fill"))
     else:
-        one = df.agg(found.alias("__fill"))
+        raise ValueError(f"unknown strategy {strategy!r}")
+    one = one.agg(F.max("__fill").alias("__fill"))  # one row, also for an empty table
     return df.crossJoin(F.broadcast(one)).withColumn(column, F.coalesce(c, F.col("__fill"))).drop("__fill")
 
 
@@ -169,7 +173,8 @@ def unique(df: DataFrame, columns: Sequence[str] | None = None, keep: str = "fir
     if keep == "any" or keep in ("first", "last") and not columns:
         return df.dropDuplicates(keys)
     if keep == "none":
-        return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter("__n = 1").drop("__n")
+        every = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        return df.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(every).alias("__row")).filter("__n = 1").select("__row.*")
     if keep not in ("first", "last"):
         raise ValueError(f"unknown keep {keep!r}")
     if order_by is None:

@@ -175,26 +175,38 @@ def check_hierarchy(totals: DataFrame, expected: float | None = None, tolerance:
 # ---- outliers ------------------------------------------------------------------------------------------------------------
 
 
-def nearest_rank(values: DataFrame, quantiles: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """values (column, v): for each column the value at row round((n - 1) * q), in order, without sorting a column in one task.
+def nearest_rank(values: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """values (column, v): for each column and q the value at row round((n - 1) * q), in order."""
+    return _at_ranks(values, [(float(q), f"CAST(round((n - 1) * {float(q)!r}D) AS BIGINT)") for q in quantiles])
+
+
+def exact_median(values: DataFrame) -> DataFrame:
+    """values (column, v): column, median (the mean of the two middle values)."""
+    both = _at_ranks(values, [(0.5, "CAST(floor((n - 1) / 2) AS BIGINT)"), (0.5, "CAST(ceil((n - 1) / 2) AS BIGINT)")])
+    return both.groupBy("column").agg(F.avg("value").alias("median"))
+
+
+def _at_ranks(values: DataFrame, ranks: Sequence[tuple[float, str]], accuracy: int = 10_000) -> DataFrame:
+    """The values at exact ranks, each near a quantile, without sorting a column in one task: column, q, rank, value.
 
     A quantile sketch, whatever the distribution, brackets each rank between two values; rows below the bracket are counted, and only the
     distinct values inside it (about 4 / accuracy of the rows) are sorted."""
     held = values.filter("v IS NOT NULL AND NOT isnan(v)")
     e = 2.0 / accuracy
-    edges = ", ".join(f"{max(0.0, q - e)!r}D, {min(1.0, q + e)!r}D" for q in quantiles)
+    edges = ", ".join(f"{max(0.0, q - e)!r}D, {min(1.0, q + e)!r}D" for q, _ in ranks)
     sketch = held.groupBy("column").agg(F.expr(f"percentile_approx(v, array({edges}), {accuracy})").alias("at"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    one = lambda i, q: F.struct(
+    one = lambda i, q, rank: F.struct(
+        F.lit(i).alias("i"),
         F.lit(q).alias("q"),
-        F.expr(f"CAST(round((n - 1) * {q!r}D) AS BIGINT)").alias("rank"),
+        F.expr(rank).alias("rank"),
         (F.col("lo") if q - e <= 0 else F.col("at")[2 * i]).alias("low"),
         (F.col("hi") if q + e >= 1 else F.col("at")[2 * i + 1]).alias("high"),
     )
-    brackets = sketch.select("column", F.explode(F.array(*(one(i, float(q)) for i, q in enumerate(quantiles)))).alias("b")).select("column", "b.*")
+    brackets = sketch.select("column", F.explode(F.array(*(one(i, q, r) for i, (q, r) in enumerate(ranks)))).alias("b")).select("column", "b.*")
     rows = held.join(F.broadcast(brackets), "column").filter("v <= high")  # a row a column and quantile
-    counts = rows.groupBy("column", "q", "rank", F.when(F.col("v") < F.col("low"), F.lit(None)).otherwise(F.col("v")).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("column", "q").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("upto", upto).filter("v IS NOT NULL AND rank < upto").groupBy("column", "q").agg(F.min("v").alias("value"))
+    counts = rows.groupBy("column", "i", "q", "rank", F.when(F.col("v") < F.col("low"), F.lit(None)).otherwise(F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("column", "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("upto", upto).filter("v IS NOT NULL AND rank < upto").groupBy("column", "i", "q", "rank").agg(F.min("v").alias("value"))
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -815,6 +815,17 @@ def noise_column(spark, d):
     return _people(spark, d).select("c_custkey", F.round(anonymize.noise(F.col("salary"), F.col("c_custkey"), 42), 6).alias("salary"))
 
 
+@query(f"WITH {_PEOPLE} SELECT c_custkey, substr(sha256('email:' || sha256('42:' || email)), 1, 16) AS email FROM people")
+def consistent_hash(spark, d):
+    return _people(spark, d).select("c_custkey", anonymize.consistent_hash(F.col("email"), "email", 42).alias("email"))
+
+
+@query()
+def mapping_discover_fuzzy(spark, d):
+    kinds = t(spark, d, "part").select("p_type").distinct()
+    return mapping.discover({"a": kinds.select(F.concat(F.col("p_type"), F.lit("s")).alias("kind")), "b": kinds}, 0.7, "a", fuzzy=True)
+
+
 # ---- subsets and distributions ------------------------------------------------------------------------------------------------------------------------
 
 

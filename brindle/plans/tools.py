@@ -359,7 +359,7 @@ class Engine:
     def discover_mappings(self, file_paths: list, threshold: float = 0.7, source: str | None = None):
         """Columns whose values are found in other files."""
         tables = {os.path.splitext(os.path.basename(p))[0]: self.read(p) for p in file_paths}
-        found = mapping.discover(tables, threshold, source)
+        found = mapping.discover(tables, threshold, source, fuzzy=True)
         return {"mappings": found, "join_paths": mapping.suggest_join_paths(found), "hierarchies": {n: mapping.hierarchy_columns(df) for n, df in tables.items()}}
 
     @tool("08_define_mapping")

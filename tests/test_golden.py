@@ -141,6 +141,22 @@ def test_anonymise(spark):
     assert [r.a for r in ages.collect()] == ["0-9", "0-9", "10-19", "x", None]
 
 
+def test_token_store(spark, tmp_path):
+    store = anonymize.TokenStore(spark, f"file://{tmp_path}/tokens")
+    one = spark.createDataFrame([("b",), ("a",), (None,)], "v string")
+    two = spark.createDataFrame([("c",), ("a",)], "v string")
+    first = [r.v for r in store.tokens(one, "v").collect()]
+    second = [r.v for r in store.tokens(two, "v").collect()]
+    assert sorted(map(str, first)) == ["None", "TKN_000001", "TKN_000002"]
+    assert sorted(second) == ["TKN_000001", "TKN_000003"] and store.stats().first().tokens == 3
+    assert sorted(r.v for r in store.original(store.tokens(two, "v"), "v").collect()) == ["a", "c"]
+    other = anonymize.TokenStore(spark, f"file://{tmp_path}/other")
+    other.load(store.table())
+    assert other.stats().first().tokens == 3
+    store.reset()
+    assert store.table().count() == 0
+
+
 def test_strata(spark):
     df = spark.createDataFrame([(i, "a" if i < 90 else "b" if i < 99 else "c") for i in range(100)], "k int, s string")
     got = [r.s for r in subset.stratified_subset(df, 20, "s", "k").collect()]
