@@ -6,6 +6,8 @@ where stated.  All hashes are fixed functions of their input: reruns and retried
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -47,6 +49,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what finished steps hold: freed memory of the driver, and shuffle files and broadcasts that nothing uses any more
+    (Spark drops those only when the driver's JVM collects garbage)."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Half-open row ranges that hold about limit bytes each."""
     start, held = 0, 0

@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import cut
+
 #: Fixed values of the production search.
 MASKS = ("1110011", "110100101", "1011001011")
 SHORT_MASK = "11111"
@@ -114,5 +116,6 @@ def _leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], id_col: st
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    bad = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak_id")).distinct()
+    # Written first, so that its size is known when the join is planned: few ids are broadcast, and no text is shuffled.
+    bad = cut(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak_id")).distinct(), "leaks")
     return docs.join(bad, F.col(id_col) == F.col("__leak_id"), "left_anti")

@@ -10,8 +10,7 @@ sequence is one.  Documents link if 100 * intersection >= 75 * union, checked on
 3. Each class is compared with the first class of each bucket it is in (a star, not all pairs): the collision-corrected
    Jaccard estimate of the two sketches must reach the threshold less LEEWAY (over five standard deviations).  What such
    pairs connect is a family; two documents at the threshold meet in no bucket with chance 5e-6.
-4. The full sets of each class and the first class that it meets most often are compared, then those of the other pairs that no link
-   joins yet.
+4. The full sets of each class and the first class that it meets most often are compared.
 5. A family that still has several components is finished exactly: its classes outside the largest component are queries against
    all its classes, in blocks of about QUERIES and MEMBERS that share no task; a block counts intersections with posting lists.  Only
    one link for each query and component leaves a block.
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, cut, mix64, utf8, word_hashes
+from brindle.llm.common import chunks, cut, mix64, release, utf8, word_hashes
 from brindle.llm.graph import components
 
 WORDS = 5
@@ -231,14 +230,13 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     met = bands.join(buckets, "key").filter("cls <> first").groupBy(F.col("first").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times"))
     close = _close(cut(met, "met"), classes, percent)
     families = components(close)
-    sets = _full_sets(thin, families.select(F.col("node").alias("id")))
+    release(docs.sparkSession)
+    sets = _full_sets(thin, cut(families.select(F.col("node").alias("id")), "ids"))
 
     best = cut(close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "best")
     links = _linked(best, sets, percent)
     labels = components(links)
-    rest = _labelled(_labelled(close.join(best, ["a", "b"], "left_anti"), "a", labels, "la"), "b", labels, "lb").filter("la <> lb")
-    links = links.unionByName(_linked(rest.select("a", "b"), sets, percent))
-    labels = components(links)
+    release(docs.sparkSession)
     labels = components(links.unionByName(_family_links(families, labels, sets, percent)))
 
     named = classes.join(labels, classes.cls == labels.node, "left").select(*by, F.coalesce("label", "cls").alias("component_id"))
@@ -253,6 +251,7 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one of each component (repeated rows of one id: one of them)."""
-    gone = near_components(docs, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__near_id")).distinct()
+    # Written first, so that its size is known when the join is planned: few ids are broadcast, and no text is shuffled.
+    gone = cut(near_components(docs, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__near_id")).distinct(), "gone")
     out = docs.join(gone, F.col(id_col) == F.col("__near_id"), "left_anti")
     return out.dropDuplicates([id_col]) if _repeats(docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL")) else out

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, utf8, word_spans
+from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, release, utf8, word_spans
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS, FRONT_BITS = 14, 16, 16
@@ -338,7 +338,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, other: int = 1500
     drawn = y.filter((F.col("y") == 0) | (F.col("y") == 1)).filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))
     # About toxic + other ids at most: a bounded side.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").orderBy("id").toPandas()
-    return train(utf8(rows["text"]), rows["y"].to_numpy())
+    model = train(utf8(rows["text"]), rows["y"].to_numpy())
+    del rows
+    release(docs.sparkSession)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Column, object]:
