@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +80,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_iblt_fingerprint, op3_spaced_seed_decontam, op4_ordinal_quality, op5_secret_scan, op6_curriculum_mix, op7_hyperminhash_dedup, op8_feistel_shards, op9_token_rollup, op10_toxicity)
 }
 
+
+
+def _secrets_sql() -> str:
+    """The matches of each rule as lists, their places one after the other, and the report's columns.
+
+    RE2 folds letters beyond ASCII too, so letters that match in either case are spelled out as classes."""
+    either = lambda p: re.sub(r"(?<![\\x\w\[])([a-z]+_?\??[a-z]*)", lambda m: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m[0]), p)
+    parts = []
+    for k, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES):
+        pattern = r.pattern
+        if r.either_case:
+            head, rest = pattern.split(")", 1)
+            pattern = either(head) + ")" + rest
+        text = pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, text, {k} AS k, '{r.kind}' AS kind, {r.min_length} AS least, {r.group} AS grp, '{text}' AS pattern, regexp_extract_all(text, '{text}') AS ms, regexp_extract_all(text, '{text}', {r.group}) AS gs FROM d")
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        m AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE len(ms) > 0),
+        r(doc_id, k, kind, least, text, ms, gs, i, s, e) AS (
+            SELECT doc_id, k, kind, least, text, ms, gs, 1, instr(text, ms[1]) - 1, instr(text, ms[1]) - 1 + length(ms[1]) FROM m
+            UNION ALL
+            SELECT doc_id, k, kind, least, text, ms, gs, i + 1, e + instr(substr(text, e + 1), ms[i + 1]) - 1, e + instr(substr(text, e + 1), ms[i + 1]) - 1 + length(ms[i + 1])
+            FROM r WHERE i < len(ms)
+        ),
+        h AS (SELECT doc_id, k, s, e, kind || ':' || s || ':' || e AS line FROM r WHERE length(gs[i]) >= least),
+        a AS (
+            SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                   coalesce(string_agg(line, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, coalesce(string_agg(line, ',' ORDER BY s, k, e), '') AS spans
+            FROM h GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": _secrets_sql(),
+    "op7_hyperminhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.node),
+        c AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+        SELECT c.node AS doc_id, coalesce(n.n, 0) AS n_shingles, c.top AS component_id, c.node = c.top AS kept FROM c LEFT JOIN n ON n.doc_id = c.node
+    """,
     "op6_curriculum_mix": r"""
         WITH d AS (
             SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
