@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import CHUNK_BYTES, cut, mix64
 
 TABLES = 3
-CELLS = 24
+CELLS = 18
 GROWTH = 4
 MAX_TRIES = 8
 MOST_CELLS = 600_000
