@@ -155,6 +155,9 @@ class Model:
             for j in range(len(FRONTS)):
                 x[:-1, WORD_DIM + GRAM_DIM :] += self.p["front"][w.front[:, j]]
             x[:-1, WORD_DIM + GRAM_DIM :] /= len(FRONTS)
+            # A word that repeats the one before it gives no input: a long run of one word counts once.
+            again = (w.word[1:] == w.word[:-1]) & (w.front[1:] == w.front[:-1]).all(axis=1)
+            x[1:-1][again] = 0
         return x
 
     def states(self, x: np.ndarray, place: np.ndarray, length: np.ndarray, keep: list | None = None) -> np.ndarray:
