@@ -7,7 +7,9 @@ where stated.  All hashes are fixed functions of their input: reruns and retried
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -26,7 +28,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one vectorised step works on; one longer document makes a step of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -49,13 +51,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Give back what finished steps hold: freed memory of the driver, and shuffle files and broadcasts that nothing uses any more
-    (Spark drops those only when the driver's JVM collects garbage)."""
+def small_batches(spark: SparkSession, most: int = 16 * 2**20) -> None:
+    """Hand texts to Python workers in batches of at most 16 MB (the session's setting, if that is smaller): a worker holds one or two."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"[^0-9-]", "", spark.conf.get(key))) not in range(1, most + 1):
+        spark.conf.set(key, str(most))
+
+
+def _trim() -> None:
+    """Free garbage, and hand freed memory back to the system where the C library can."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def tidy(task):
+    """A task's generator that leaves nothing behind: Python workers are used again, and each task brings its own copy of the functions
+    (and of what they have cached), which would otherwise wait for a full collection."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            _cache.clear()
+            _trim()
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Give back what finished steps hold: freed memory of the driver, and shuffle files and broadcasts that nothing uses any more
+    (Spark drops those only when the driver's JVM collects garbage)."""
+    _trim()
     spark.sparkContext._jvm.System.gc()
 
 

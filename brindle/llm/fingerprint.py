@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import CHUNK_BYTES, cut, mix64
+from brindle.llm.common import CHUNK_BYTES, cut, mix64, small_batches, tidy
 
 TABLES = 3
 CELLS = 18
@@ -190,6 +190,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The texts are dealt by range of id and sorted, one shuffle; a task sees each neighbour pair but its last document's.
     Each task's first and last document are kept with the results, and only those are paired in a second, small step.
     """
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = thin.schema["id"].dataType.simpleString()
     schema = f"id {kind}, {_RESULT}, role string, part int, text string"
@@ -232,7 +233,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = [F.desc_nulls_last("id"), F.desc("h")]
     dealt = thin.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
-    done = cut(dealt.mapInPandas(task, schema), "fingerprint")
+    done = cut(dealt.mapInPandas(tidy(task), schema), "fingerprint")
 
     edges = done.filter(F.col("role").isNotNull())
     numbers = sorted(r[0] for r in edges.filter("role = 'first'").select("part").collect())  # one number a task
@@ -247,7 +248,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
             texts, after = pdf["text"].tolist(), pdf["next_text"].tolist()
             yield pd.DataFrame(_compare(pdf["id"].tolist(), texts, [digests(t) for t in texts], after, [digests(t) for t in after]))
 
-    rest = last.join(first, "next_part").select("id", "text", "next_text").mapInPandas(tails, f"id {kind}, {_RESULT}")
+    rest = last.join(first, "next_part").select("id", "text", "next_text").mapInPandas(tidy(tails), f"id {kind}, {_RESULT}")
     return _written(done.filter(F.col("role").isNull()).select(*_NAMES).unionByName(rest), id_col)
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, cut, mix64, release, utf8, word_hashes
+from brindle.llm.common import chunks, cut, mix64, release, small_batches, tidy, utf8, word_hashes
 from brindle.llm.graph import components
 
 WORDS = 5
@@ -113,7 +113,7 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n (size of the set), hi and lo (a 128-bit hash of the set), regs; kept in the shared folder."""
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = thin.schema["id"].dataType.simpleString()
-    return cut(thin.mapInPandas(_sketches, f"id {kind}, n long, hi long, lo long, regs binary"), "sketches")
+    return cut(thin.mapInPandas(tidy(_sketches), f"id {kind}, n long, hi long, lo long, regs binary"), "sketches")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 some = shingle_sets(raw[a:b])
                 yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "shingles": [s.tobytes() for s in some]})
 
-    made = docs.join(ids, "id", "left_semi").mapInPandas(sets, f"id {kind}, shingles binary")
+    made = docs.join(ids, "id", "left_semi").mapInPandas(tidy(sets), f"id {kind}, shingles binary")
     return cut(made.dropDuplicates(["id"]) if _repeats(docs) else made, "sets")
 
 
@@ -221,6 +221,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id that links lead to) and kept (id = component_id) of every row."""
+    small_batches(docs.sparkSession)
     table = sketch_table(docs, id_col, text_col)
     by = ["hi", "lo", "n"]
     classes = cut(table.filter("n > 0 AND id IS NOT NULL").groupBy(*by).agg(F.min("id").alias("cls"), F.min("regs").alias("regs")), "classes")

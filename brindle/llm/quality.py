@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, utf8, word_hashes
+from brindle.llm.common import chunks, small_batches, tidy, utf8, word_hashes
 
 GRAM_BITS = 15
 SHAPES = ("distinct", "length", "capitals", "signs")
@@ -128,6 +128,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_grade: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Train on about per_grade documents of each grade."""
+    small_batches(docs.sparkSession)
     y = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("long").alias("y")).groupBy("id").agg(F.max("y").alias("y")).filter("y IS NOT NULL")
     sizes = {r[0]: r[1] for r in y.groupBy("y").count().collect()}  # a row a grade
     grades = sorted(sizes)
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_gra
     kind = docs.schema[id_col].dataType.simpleString()
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # About per_grade ids for each grade: a bounded side.
-    held = thin.join(F.broadcast(drawn), "id").mapInPandas(_counts, f"id {kind}, y long, cols binary, vals binary").orderBy("id").toPandas()
+    held = thin.join(F.broadcast(drawn), "id").mapInPandas(tidy(_counts), f"id {kind}, y long, cols binary, vals binary").orderBy("id").toPandas()
     cols = [np.frombuffer(c, dtype=np.int32) for c in held["cols"]]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     values = np.concatenate([np.frombuffer(v, dtype=np.float32) for v in held["vals"]]).astype(np.float64)
@@ -147,6 +148,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_gra
 
 def score_quality(docs: DataFrame, model: OrdinalModel, tail_grade: int | None = None, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, expected_grade, tail_probability (of tail_grade, by default the highest, or more) and kept (from keep_from on)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
     top = model.grades[-1] if tail_grade is None else tail_grade
     below = sum(g < top for g in model.grades)
@@ -159,5 +161,5 @@ def score_quality(docs: DataFrame, model: OrdinalModel, tail_grade: int | None =
             tail = p[:, below - 1] if 0 < below <= p.shape[1] else np.full(len(p), 1.0 if below == 0 or not p.shape[1] else 0.0)
             yield pd.DataFrame({"expected_grade": m.grades[0] + p @ gaps, "tail_probability": tail})
 
-    q = F.pandas_udf(score, "expected_grade double, tail_probability double")(F.col(text_col))
+    q = F.pandas_udf(tidy(score), "expected_grade double, tail_probability double")(F.col(text_col))
     return docs.select(F.col(id_col), q.alias("q")).select(id_col, "q.expected_grade", "q.tail_probability", (F.col("q.tail_probability") >= keep_from).alias("kept"))

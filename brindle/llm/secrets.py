@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, utf8
+from brindle.llm.common import chunks, small_batches, tidy, utf8
 
 
 @dataclass(frozen=True)
@@ -218,9 +218,10 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
                     x.sort(key=lambda s: (s["start"], s["rule"], s["end"]))
                 yield pd.DataFrame({"id": ids.iloc[a:b].to_numpy(), "spans": found})
 
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = thin.schema["id"].dataType.simpleString()
-    return thin.mapInPandas(scan, f"id {kind}, spans array<struct<start:long,end:long,rule:int>>").withColumnRenamed("id", id_col)
+    return thin.mapInPandas(tidy(scan), f"id {kind}, spans array<struct<start:long,end:long,rule:int>>").withColumnRenamed("id", id_col)
 
 
 def secrets_report(found: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id") -> DataFrame:

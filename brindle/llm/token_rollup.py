@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.common import small_batches, tidy
+
 KEYS = ("source", "lang", "tokenizer")
 #: Fixed value: the split pattern of the byte-level vocabulary.
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,6 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def token_counts(docs: DataFrame, ranks: dict[bytes, int], version: str, pattern: str = BYTE_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, source, lang, tokenizer and tokens of each document: one row by the byte-pair vocabulary, one by words ('words-v1')."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: some MB at most
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -42,7 +45,7 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], version: str, pattern
         for texts in batches:
             yield pd.Series([0 if t is None else len(encoding.encode_ordinary(t)) for t in texts], dtype="int64")
 
-    pieces = F.pandas_udf(count, "long")
+    pieces = F.pandas_udf(tidy(count), "long")
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     return docs.select(
         F.col(id_col),

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, release, utf8, word_spans
+from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, release, small_batches, tidy, utf8, word_spans
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS, FRONT_BITS = 14, 16, 16
@@ -349,13 +349,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, other: int = 1500
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Column, object]:
     """The score column of a document's text, and the broadcast that holds the model (a fixed size)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(sent.value.scores(utf8(texts)), dtype="float64")
 
-    return F.pandas_udf(score, "double")(F.col(text_col)), sent
+    return F.pandas_udf(tidy(score), "double")(F.col(text_col)), sent
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
