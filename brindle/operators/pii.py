@@ -120,15 +120,15 @@ def _content_confidence(rate: Column) -> Column:
     return F.when(rate >= 0.8, 0.95).when(rate >= 0.5, 0.8).when(rate >= 0.2, 0.6).when(rate >= 0.05, 0.4).otherwise(0.0)
 
 
-def match_rates(df: DataFrame, columns: list[str] | None = None, validated: bool = False) -> DataFrame:
+def match_rates(df: DataFrame, columns: list[str] | None = None, validated: bool = False, types: list[str] | None = None) -> DataFrame:
     """column, pii_type, match_rate: the share of non-null values that hold the type's pattern (validated: and pass its check where the
-    whole value is one match).  All columns and types in one pass."""
+    whole value is one match).  All columns and types (or those asked for) in one pass."""
     columns = columns or df.columns
     measures = {}
     for c in columns:
         v = F.col(f"`{c}`").cast("string")
         for t in CATALOGUE:
-            if t.pattern:
+            if t.pattern and (types is None or t.name in types):
                 hit = v.rlike(f"(?i){t.pattern}")
                 if validated and t.validator:
                     hit = hit & F.coalesce(VALIDATORS[t.validator](v), F.lit(False))

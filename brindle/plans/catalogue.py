@@ -720,8 +720,8 @@ SELECT 'text' AS "column", 'email' AS pii_type, round(avg(CASE WHEN regexp_match
 UNION ALL SELECT 'text', 'ip_address', round(avg(CASE WHEN regexp_matches(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b') THEN 1.0 ELSE 0.0 END), 6) FROM documents
 UNION ALL SELECT 'text', 'credit_card', round(avg(CASE WHEN regexp_matches(text, '\b(?:[0-9]{4}[-\s]?){3}[0-9]{4}\b|\b[0-9]{15,16}\b') THEN 1.0 ELSE 0.0 END), 6) FROM documents""")
 def pii_match_rates(spark, d):
-    found = pii.match_rates(t(spark, d, "documents"), ["text"])
-    return found.filter("pii_type IN ('email', 'ip_address', 'credit_card')").select("column", "pii_type", F.round("match_rate", 6).alias("match_rate"))
+    found = pii.match_rates(t(spark, d, "documents"), ["text"], types=["email", "ip_address", "credit_card"])
+    return found.select("column", "pii_type", F.round("match_rate", 6).alias("match_rate"))
 
 
 @query()
