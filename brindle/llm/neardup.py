@@ -7,10 +7,11 @@ sequence is one.  Documents link if 100 * intersection >= 75 * union, checked on
    bucket borrows the register of a bucket that a fixed order of preference picks, which keeps the chance of agreement).
    Documents with one set become one class.
 2. Bands of BAND registers are hashed; classes that agree in a band share a bucket.
-3. Each class is compared with the first class of each bucket it is in (a star, not all pairs): the collision-corrected
-   Jaccard estimate of the two sketches must reach the threshold less LEEWAY (over five standard deviations).  What such
-   pairs connect is a family; two documents at the threshold meet in no bucket with chance 5e-6.
-4. The full sets of each class and the first class that it meets most often are compared.
+3. Each class is compared with the first class of each bucket it is in (a star, not all pairs), and in a bucket of more than two also
+   with a class of about its size that a hash picks: the collision-corrected Jaccard estimate of the two sketches must reach
+   the threshold less LEEWAY (over five standard deviations), and so must their sizes.  What such pairs connect is a family; two
+   documents at the threshold meet in no bucket with chance 5e-6.
+4. The full sets of each class and the class that it meets most often are compared.
 5. A family that still has several components is finished exactly: its classes outside the largest component are queries against
    all its classes, in blocks of about QUERIES and MEMBERS that share no task; a block counts intersections with posting lists.  Only
    one link for each query and component leaves a block.
@@ -36,6 +37,7 @@ WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
 QUERIES, MEMBERS = 64, 128
+ORDERS = 4
 LEEWAY = 0.2
 #: Fixed value: the constant of the chance that two unrelated registers agree.
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
@@ -117,7 +119,7 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
+    """Pairs (a, b) whose sizes and sketches, less LEEWAY, put both into one family; fits: the sizes allow a link."""
 
     def likely(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for na, nb, ra, rb in batches:
@@ -126,8 +128,9 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")), x)
-    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return cut(pairs.filter(sized).filter(F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb")).select("a", "b", "times"), "close")
+    sized = lambda least: 100 * F.least("na", "nb") >= least * F.greatest("na", "nb")
+    near = pairs.filter(sized(percent - 100 * LEEWAY)).filter(F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb"))
+    return cut(near.select("a", "b", "times", sized(percent).alias("fits")), "close")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -212,13 +215,25 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, cls) for each band."""
+    """(key, cls, n) for each band."""
     wide = 2 * BAND
     return classes.withColumn("b", F.explode(F.expr(f"sequence(0, {BANDS - 1})"))).select(
-        F.expr(f"xxhash64(b, substring(regs, b * {wide} + 1, {wide}))").alias("key"), "cls"
+        F.expr(f"xxhash64(b, substring(regs, b * {wide} + 1, {wide}))").alias("key"), "cls", "n"
     )
 
 
+def _size_centres(bands: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class b and one of about its size in its bucket, the first in one of ORDERS hashed orders.
+
+    Two grids of sizes lie half a step apart, so that two classes whose sizes allow a link share a step of one of them."""
+    at = F.log("n") / (2 * np.log(100 / percent)) if percent < 100 else F.col("n").cast("double")
+    crowded = bands.join(buckets.filter("size > 2").select("key"), "key")
+    rows = crowded.withColumn("step", F.explode(F.array(2 * F.floor(at), 2 * F.floor(at + 0.5) + 1)))
+    order = F.xxhash64("cls", F.pmod("key", F.lit(ORDERS)))
+    centres = rows.groupBy("key", "step").agg(F.min(F.struct(order.alias("h"), "cls"))["cls"].alias("a"))
+    return rows.join(centres, ["key", "step"]).filter("cls <> a").select("a", F.col("cls").alias("b"), F.lit(0).alias("one"))
+
+
 def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id that links lead to) and kept (id = component_id) of every row."""
     small_batches(docs.sparkSession)
@@ -228,13 +243,14 @@ def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bands = _bands(classes)
     buckets = bands.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    met = bands.join(buckets, "key").filter("cls <> first").groupBy(F.col("first").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times"))
+    firsts = bands.join(buckets, "key").filter("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"), F.lit(1).alias("one"))
+    met = firsts.unionByName(_size_centres(bands, buckets, percent)).groupBy("a", "b").agg(F.sum("one").alias("times"))
     close = _close(cut(met, "met"), classes, percent)
     families = components(close)
     release(docs.sparkSession)
     sets = _full_sets(thin, cut(families.select(F.col("node").alias("id")), "ids"))
 
-    best = cut(close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "best")
+    best = cut(close.groupBy("b").agg(F.max_by("a", F.struct("fits", "times", "a")).alias("a")).select("a", "b"), "best")
     links = _linked(best, sets, percent)
     labels = components(links)
     release(docs.sparkSession)
