@@ -56,7 +56,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of some texts: word buckets, gram buckets with their first index for each word, prefix buckets, first word of each text."""
+    """The words of some texts (or windows): word buckets, gram buckets with their first index for each word, prefix buckets, first word of each text."""
 
     word: np.ndarray
     gram: np.ndarray
@@ -66,7 +66,7 @@ class Words:
 
 
 def read_words(texts: Sequence[bytes]) -> Words:
-    raw = b"\n" + b"\n".join(texts).lower() + b"\n   "
+    raw = b"\n" + b"\n ".join(texts).lower() + b"\n   "  # two marks: the gram of a last word of one byte ends before the next text
     buf = np.frombuffer(raw, dtype=np.uint8)
     plain = np.where((buf >= 9) & (buf <= 13), 32, buf).astype(np.uint32)  # all white space is one mark
     starts, ends = word_spans(buf)
@@ -89,7 +89,7 @@ def read_words(texts: Sequence[bytes]) -> Words:
     for j, k in enumerate(FRONTS):
         front[:, j] = bucket(np.minimum(starts + k, ends), FRONT_BITS)
     at = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=at[1:])
+    np.cumsum([len(t) + 2 for t in texts], out=at[1:])
     return Words(word, gram, gram_at, front, np.searchsorted(starts, at + 1))
 
 
@@ -155,8 +155,9 @@ class Model:
             for j in range(len(FRONTS)):
                 x[:-1, WORD_DIM + GRAM_DIM :] += self.p["front"][w.front[:, j]]
             x[:-1, WORD_DIM + GRAM_DIM :] /= len(FRONTS)
-            # A word that repeats the one before it gives no input: a long run of one word counts once.
+            # A word that repeats the one before it in its text gives no input: a long run of one word counts once.
             again = (w.word[1:] == w.word[:-1]) & (w.front[1:] == w.front[:-1]).all(axis=1)
+            again[w.text_at[(w.text_at > 0) & (w.text_at < len(w.word))] - 1] = False
             x[1:-1][again] = 0
         return x
 

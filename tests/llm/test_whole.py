@@ -2,7 +2,10 @@
 
 import random
 
-from brindle.llm import neardup
+import numpy as np
+import pytest
+
+from brindle.llm import neardup, toxicity
 
 from .helpers import DOCS
 from .test_operators import brute_components
@@ -29,3 +32,17 @@ def test_texts_beside_unlike_firsts_are_linked(spark):
         docs += [(20 * k + i, " ".join(words[: 4 + 4 * share])) for i, share in enumerate((*range(40, 52), 78, 100))]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_components(df).collect()} == brute_components(docs)
+
+
+def test_copies_of_a_short_text_score_alike():
+    toxic = [b"vile", b"vile vile", b"vile words here", b"you vile"]
+    clean = [b"calm", b"calm sea", b"a calm day", b"day b"]
+    y = np.array([1] * len(toxic) * 20 + [0] * len(clean) * 20)
+    model = toxicity.train(toxic * 20 + clean * 20, y, updates=60)
+    for text in (b"vile", b"vile vile", b"x", b"vile x"):
+        alone = model.scores([text])[0]
+        assert model.scores([text] * 50) == pytest.approx(np.full(50, alone), abs=1e-5)
+    assert model.scores([b"vile"] * 3).min() > toxicity.THRESHOLD
+    assert model.scores([b"you vile", b"vile words here"])[1] == pytest.approx(model.scores([b"vile words here"])[0], abs=1e-5)
+    assert model.scores([b"calm", b"", b"calm"])[2] == pytest.approx(model.scores([b"calm"])[0], abs=1e-5)
+    assert model.scores([b"day b", b"vile"])[0] == pytest.approx(model.scores([b"day b"])[0], abs=1e-5)
