@@ -3,9 +3,10 @@
 Fixed masks lie over word positions: a seed is a hash of the words under a mask's ones, whatever stands under its zeros, so
 a substituted word spares the seeds that ignore its place.  Seeds of the benchmark items are joined with the seeds of all
 documents; each hit aligns a document with an item, and the alignment is scored word by word around the hit (+1 for an equal word, -2
-for a substituted one; the best segment counts).  A document leaks an item if the best segment has at least MIN_MATCH equal
-words (all of the item's, if it has fewer) and a share of at least MIN_SHARE.  Items under MIN_ITEM words can't be told from chance and
-are never reported.
+for a substituted one).  A document leaks an item if some segment of an alignment has enough equal words and a share of at least
+MIN_SHARE; enough is MIN_MATCH or, if fewer, MIN_SHARE of the item's words, but MIN_ITEM at least.  The best such segment counts.  Items
+under MIN_ITEM words can't be told from chance and are never reported.  Only what a seed hits is scored: any two substitutions in
+an item of 11 words or more are found, but few words between many substitutions can spare no seed.
 
 Words: lower case, punctuation taken off, split at ASCII white space.  Only the first hit of a run of neighbouring hits is
 scored.  The seeds are broadcast in blocks of items of at most BLOCK_WORDS words each, whatever the benchmark's size; documents stream by,
@@ -59,11 +60,11 @@ def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     ).filter("h IS NOT NULL")
 
 
-#: The best segment of an alignment: a fold over the item's words that lie within the document.
+#: The best segment of an alignment, and its equal words in total: a fold over the item's words that lie within the document.
 _FOLD = """
 aggregate(
     sequence(greatest(0, -shift), least(item_n, n - shift) - 1),
-    named_struct('run', 0, 'from', 0, 'hit', 0, 'best', 0, 'first', 0, 'last', -1, 'equal', 0),
+    named_struct('run', 0, 'from', 0, 'hit', 0, 'best', 0, 'first', 0, 'last', -1, 'equal', 0, 'total', 0),
     (s, k) -> transform(array(named_struct(
             'same', get(words, k + shift) = get(item_words, k), 'fresh', s.run <= 0)),
         x -> transform(array(named_struct(
@@ -74,7 +75,26 @@ aggregate(
                 'best', greatest(s.best, y.run),
                 'first', if(y.run > s.best, y.from, s.first),
                 'last', if(y.run > s.best, k, s.last),
-                'equal', if(y.run > s.best, y.hit, s.equal)))[0])[0])
+                'equal', if(y.run > s.best, y.hit, s.equal),
+                'total', s.total + if(x.same, 1, 0)))[0])[0])
+"""
+#: Equal words that are enough.
+_NEED = f"greatest({MIN_ITEM}, least({MIN_MATCH}, CAST(ceil({MIN_SHARE} * item_n) AS INT)))"
+#: The best segment that has enough equal words and share, from the places e of all equal words: it starts and ends with a run of them.
+_PART = f"""
+transform(array(filter(sequence(greatest(0, -shift), least(item_n, n - shift) - 1), k -> get(words, k + shift) = get(item_words, k))),
+    e -> array_max(flatten(transform(
+        filter(sequence(0, size(e) - 1), p -> p = 0 OR get(e, p - 1) < get(e, p) - 1),
+        p -> transform(
+            filter(sequence(p, size(e) - 1), q -> (q = size(e) - 1 OR get(e, q + 1) > get(e, q) + 1)
+                AND q - p + 1 >= {_NEED} AND q - p + 1 >= {MIN_SHARE} * (get(e, q) - get(e, p) + 1)),
+            q -> named_struct('score', 3 * (q - p + 1) - 2 * (get(e, q) - get(e, p) + 1), 'before', -get(e, p), 'last', get(e, q), 'equal', q - p + 1))))))[0]
+"""
+#: The segment that counts, or null: mostly the best of all; else a part or a wider one is looked for, if there are enough equal words.
+_SEGMENT = f"""
+transform(array({_FOLD}), s -> CASE
+    WHEN s.equal >= {_NEED} AND s.equal >= {MIN_SHARE} * (s.last - s.first + 1) THEN named_struct('score', s.best, 'before', -s.first, 'last', s.last, 'equal', s.equal)
+    WHEN s.total >= {_NEED} THEN {_PART} END)[0]
 """
 
 
@@ -102,16 +122,16 @@ def _leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], id_col: st
     earlier = "CASE m " + " ".join(f"WHEN {m} THEN {_seed(m, mask, '(at - 1)')}" for m, mask in enumerate(masks)) + " END"
     hits = hits.filter(~F.coalesce(F.col("before") == F.expr(earlier), F.lit(False)))  # a run's first hit speaks for it
     texts = F.broadcast(items.select("item", F.col("words").alias("item_words"), F.col("n").alias("item_n")))
-    scored = hits.withColumn("shift", F.col("at") - F.col("j")).join(texts, "item").withColumn("s", F.expr(_FOLD))
+    scored = hits.withColumn("shift", F.col("at") - F.col("j")).join(texts, "item").withColumn("s", F.expr(_SEGMENT)).filter("s IS NOT NULL")
     return scored.select(
         "id",
         "item",
         F.col("s.equal").alias("equal"),
-        (F.col("s.equal") / (F.col("s.last") - F.col("s.first") + 1)).alias("share"),
+        (F.col("s.equal") / (F.col("s.last") + F.col("s.before") + 1)).alias("share"),
         (F.col("s.equal") / F.col("item_n")).alias("coverage"),
-        (F.col("s.first") + F.col("shift")).alias("start"),
+        (F.col("shift") - F.col("s.before")).alias("start"),
         "item_n",
-    ).filter(f"equal >= least({MIN_MATCH}, item_n) AND share >= {MIN_SHARE}")
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
