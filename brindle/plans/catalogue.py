@@ -187,14 +187,25 @@ def join_cross(spark, d):
     return relational.join_files([t(spark, d, "region").select("r_name"), t(spark, d, "nation").select("n_name")], [], "cross")
 
 
+def _nway(spark, d, customers):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
+    c = customers.select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
+    return relational.join_files([n, c, s], ["nationkey"])
+
+
 @query("""
 SELECT n_nationkey AS nationkey, n_name AS name, c_name AS name_file1, c_acctbal AS acctbal, s_name AS name_file2, s_acctbal AS acctbal_file2
 FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON n_nationkey = s_nationkey WHERE c_custkey % 7 = 0""")
 def join_files_nway(spark, d):
-    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
-    c = t(spark, d, "customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
-    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
-    return relational.join_files([n, c, s], ["nationkey"])
+    return _nway(spark, d, t(spark, d, "customer").filter("c_custkey % 7 = 0"))
+
+
+@query("""
+SELECT n_nationkey AS nationkey, n_name AS name, c_name AS name_file1, c_acctbal AS acctbal, s_name AS name_file2, s_acctbal AS acctbal_file2
+FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON n_nationkey = s_nationkey""")
+def join_files_nway_whole(spark, d):
+    return _nway(spark, d, t(spark, d, "customer"))
 
 
 @query("""
@@ -206,13 +217,23 @@ def as_of_join(spark, d):
     return relational.as_of_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "ts", "at", ["user_id"], ["seen"], 3 * 86_400)
 
 
+def _ranges(spark, d, parts):
+    r = parts.select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 1).alias("high"))
+    return relational.range_join(t(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), r, "price", "low", "high", 10.0).select("part", "price", "p_partkey")
+
+
 @query("""
 WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 1 AS high FROM part WHERE p_partkey % 20 = 0), o AS (SELECT p_partkey AS part, p_retailprice AS price FROM part)
 SELECT o.part, o.price, r.p_partkey FROM o JOIN r ON o.price >= r.low AND o.price < r.high""")
 def range_join(spark, d):
-    p = t(spark, d, "part")
-    r = p.filter("p_partkey % 20 = 0").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 1).alias("high"))
-    return relational.range_join(p.select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), r, "price", "low", "high", 10.0).select("part", "price", "p_partkey")
+    return _ranges(spark, d, t(spark, d, "part").filter("p_partkey % 20 = 0"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 1 AS high FROM part), o AS (SELECT p_partkey AS part, p_retailprice AS price FROM part)
+SELECT o.part, o.price, r.p_partkey FROM o JOIN r ON o.price >= r.low AND o.price < r.high""")
+def range_join_whole(spark, d):
+    return _ranges(spark, d, t(spark, d, "part"))
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------------------------
