@@ -25,11 +25,16 @@ def kept(df: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with rank (0, 1, ...) by the order columns: rows sorted in ranges, and each range's first rank from the ranges' counts."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    at = kept(dealt.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__in")))
+    return placed(dealt, "rank")
+
+
+def placed(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Sorted rows with their place (0, 1, ...), from the counts of their partitions."""
+    at = kept(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__in")))
     sizes = {r[0]: r[1] for r in at.groupBy("__part").count().collect()}  # a row a partition
     base, bases = 0, []
     for part in sorted(sizes):
         bases += [F.lit(part), F.lit(base).cast("long")]
         base += sizes[part]
     first = F.create_map(*bases)[F.col("__part")] if bases else F.lit(0).cast("long")
-    return at.withColumn("rank", first + F.col("__in")).drop("__part", "__in")
+    return at.withColumn(name, first + F.col("__in")).drop("__part", "__in")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import distributions, rng
+from brindle.functions import distributions, lineage, rng
 from brindle.operators import anonymize, filters, generate, hierarchy, mapping, pii, pipeline, profile, quality, relational, relationships, sql, subset, validate
 from brindle.plans import specs
 from brindle.streaming import events as stream
@@ -345,6 +345,12 @@ def sort_nulls_first(spark, d):
     return relational.sort(orders_nulls(spark, d).select("o_orderkey", "o_orderstatus"), ["o_orderstatus", "o_orderkey"], [True, False]).limit(100)
 
 
+@query(f"WITH {ORDERS_NULLS} SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, o_orderkey) - 1 AS place FROM orders_nulls")
+def sort_nulls_first_whole(spark, d):
+    rows = relational.sort(orders_nulls(spark, d).select("o_orderkey", "o_orderstatus"), ["o_orderstatus", "o_orderkey"], [True, False])
+    return lineage.placed(rows)
+
+
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top_k(spark, d):
     return subset.top_n(t(spark, d, "orders"), 25, [F.desc("o_totalprice"), "o_orderkey"])

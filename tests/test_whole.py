@@ -18,3 +18,10 @@ def test_joins_read_whole_tables(spark):
     parts = column(spark, "part", "p_partkey", "p_retailprice")
     got = {(r.part, r.p_partkey) for r in catalogue.QUERIES["range_join_whole"](spark, SMALL).collect()}
     assert got == {(a, b) for a, x in parts for b, y in parts if y <= x < y + 1} and {b for _, b in got} == {k for k, _ in parts}
+
+
+def test_sort_returns_all_rows_in_order(spark):
+    rows = [(k, None if k % 29 == 0 else s) for k, s in column(spark, "orders", "o_orderkey", "o_orderstatus")]
+    want = sorted(rows, key=lambda r: (r[1] is not None, -ord(r[1] or "A"), r[0]))
+    got = catalogue.QUERIES["sort_nulls_first_whole"](spark, SMALL).collect()
+    assert [(r.o_orderkey, r.o_orderstatus) for r in sorted(got, key=lambda r: r.place)] == want and [r.place for r in sorted(got, key=lambda r: r.place)] == list(range(len(rows)))
