@@ -751,6 +751,11 @@ def pii_match_rates(spark, d):
     return found.select("column", "pii_type", F.round("match_rate", 6).alias("match_rate"))
 
 
+@query()
+def pii_match_rates_whole(spark, d):
+    return pii.match_rates(t(spark, d, "documents"), ["text"]).select("column", "pii_type", F.round("match_rate", 6).alias("match_rate"))
+
+
 @query()
 def pii_detect(spark, d):
     c = t(spark, d, "customer").select(F.col("c_name").alias("customer_name"), F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@example.com")).alias("email"), F.col("c_acctbal").alias("balance"))

@@ -1,7 +1,9 @@
 """Queries over whole tables: every row of the inputs takes part."""
 
+import re
 from collections import Counter
 
+from brindle.operators import pii
 from brindle.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,3 +27,10 @@ def test_sort_returns_all_rows_in_order(spark):
     want = sorted(rows, key=lambda r: (r[1] is not None, -ord(r[1] or "A"), r[0]))
     got = catalogue.QUERIES["sort_nulls_first_whole"](spark, SMALL).collect()
     assert [(r.o_orderkey, r.o_orderstatus) for r in sorted(got, key=lambda r: r.place)] == want and [r.place for r in sorted(got, key=lambda r: r.place)] == list(range(len(rows)))
+
+
+def test_match_rates_of_all_types(spark):
+    texts = [x for (x,) in column(spark, "documents", "text") if x is not None]
+    want = {c.name: round(sum(bool(re.search(c.pattern, x, re.I)) for x in texts) / len(texts), 6) for c in pii.CATALOGUE if c.pattern}
+    got = {r.pii_type: r.match_rate for r in catalogue.QUERIES["pii_match_rates_whole"](spark, SMALL).collect()}
+    assert got == want and len(got) > 3
