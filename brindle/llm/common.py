@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import pickle
 import re
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import brindle
 
-# Python workers get these functions by value: no package has to be installed on the executors.
+# Python workers get these functions by value: no package has to be installed on the executors (objects go by `shared`).
 cloudpickle.register_pickle_by_value(brindle)
 
 #: The white space of words, as a Java, Python and DuckDB character class.
@@ -35,9 +36,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared checkpoint folder (a temporary one only where it is unset)."""
+    """A fresh path in the cluster's shared checkpoint folder (a temporary one only where it is unset and all runs on one machine)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/brindle-{name}-{uuid.uuid4().hex}"
@@ -51,6 +54,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value):
+    """Broadcast an object of bounded size; the result gives it to a task.  It goes by value, class and all, so workers need no package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        return pickle.loads(sent.value)
+
+    return get
+
+
 def small_batches(spark: SparkSession, most: int = 16 * 2**20) -> None:
     """Hand texts to Python workers in batches of at most 16 MB (the session's setting, if that is smaller): a worker holds one or two."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -79,7 +79,8 @@ def curriculum_mix(
     n = docs.select(source_col).count()
     digits = max(1, (n // rows_per_bucket).bit_length() // 4 + 1)
     # One key of source (null marked) and hash bucket, so that the window and the join use one shuffle.
-    df = docs.withColumn("__mix_key", F.md5(F.col(id_col).cast("string"))).withColumn(
+    key = F.coalesce(F.md5(F.col(id_col).cast("string")), F.md5(F.col(size_col).cast("string")))  # rows without an id spread by size
+    df = docs.withColumn("__mix_key", key).withColumn(
         "__mix_bucket",
         F.concat(F.coalesce(F.substring("__mix_key", 1, digits), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))),
     )

@@ -5,29 +5,31 @@ sequence is one.  Documents link if 100 * intersection >= 75 * union, checked on
 
 1. Sketch: each of REGISTERS buckets keeps its smallest hash as a count of leading zeros and MANTISSA bits (an empty
    bucket borrows the register of a bucket that a fixed order of preference picks, which keeps the chance of agreement).
-   Documents with one set become one class.
-2. Bands of BAND registers are hashed; classes that agree in a band share a bucket.
-3. Each class is compared with the first class of each bucket it is in (a star, not all pairs), and in a bucket of more than two also
-   with a class of about its size that a hash picks: the collision-corrected Jaccard estimate of the two sketches must reach
-   the threshold less LEEWAY (over five standard deviations), and so must their sizes.  What such pairs connect is a family; two
-   documents at the threshold meet in no bucket with chance 5e-6.
-4. The full sets of each class and the class that it meets most often are compared.
-5. A family that still has several components is finished exactly: its classes outside the largest component are queries against
-   all its classes, in blocks of about QUERIES and MEMBERS that share no task; a block counts intersections with posting lists.  Only
-   one link for each query and component leaves a block.
+   Documents with one set become one class, which a row of it stands for.
+2. Bands of BAND registers are hashed; classes that agree in a band share a bucket.  Two documents at the threshold meet in no
+   bucket with chance 5e-6.
+3. Each class is compared with the first class of each bucket it is in (a star, not all pairs): sizes must allow a link, and the
+   collision-corrected Jaccard estimate of the two sketches must reach the threshold less LEEWAY (over five standard deviations).
+4. The full sets of each class and the close class that it meets most often are compared; links give components.
+5. A bucket that still holds several components is open, unless it is one pair that isn't close.  All classes of open buckets are joined by
+   their rare shingles: of two sets that link, the rarest ones (a quarter of the larger, a seventh of the smaller) share one.  Pairs of
+   different components that do are estimated as in 3 and their full sets compared: no link between classes of one bucket is lost, whatever
+   the bucket's first class is like, and a large group with one label costs nothing here.
 6. Components by smallest label.
 
-Null and empty texts: no shingles, linked with nothing.  Very long texts: whole.  Repeated rows and equal texts: one class.  Null ids
-come after all others.  Empty table: empty result.  Only id and text are read, whatever other columns there are.
+Null and empty texts: no shingles, linked with nothing.  Very long texts: whole.  Repeated rows and equal texts: one class; an id with
+several texts is in a class for each.  Rows without an id are linked like others, but their id is never a component's: a component without
+any id has a null one.  Empty table: empty result.  Only id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import chunks, cut, mix64, release, small_batches, tidy, utf8, word_hashes
@@ -36,8 +38,6 @@ from brindle.llm.graph import components
 WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
-QUERIES, MEMBERS = 64, 128
-ORDERS = 4
 LEEWAY = 0.2
 #: Fixed value: the constant of the chance that two unrelated registers agree.
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
@@ -103,6 +103,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "id": pdf["id"].iloc[a:b].to_numpy(),
+                    "tid": pdf["tid"].iloc[a:b].to_numpy(),
                     "n": [len(s) for s in sets],
                     "hi": [int(mix64(s ^ _U(0x51)).sum().astype(np.int64)) for s in sets],
                     "lo": [int(mix64(s ^ _U(0xA7)).sum().astype(np.int64)) for s in sets],
@@ -111,15 +112,33 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and tid, a hash of the text: with the id it names a row's text."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("tid"))
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (size of the set), hi and lo (a 128-bit hash of the set), regs; kept in the shared folder."""
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, tid, n (size of the set), hi and lo (a 128-bit hash of the set), regs; kept in the shared folder."""
+    thin = _thin(docs, id_col, text_col)
     kind = thin.schema["id"].dataType.simpleString()
-    return cut(thin.mapInPandas(tidy(_sketches), f"id {kind}, n long, hi long, lo long, regs binary"), "sketches")
+    return cut(thin.mapInPandas(tidy(_sketches), f"id {kind}, tid long, n long, hi long, lo long, regs binary"), "sketches")
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    """A row for each distinct set: cls (a number, kept with the table), the smallest id (null if no row has one), how many rows have it,
+    and id and text hash of the row that stands for it."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tid"))
+    out = table.filter("n > 0").groupBy("hi", "lo", "n").agg(first.alias("row"), F.count("*").alias("held"), F.min("regs").alias("regs"))
+    out = out.select("hi", "lo", "n", F.col("row.id").alias("id"), F.col("row.tid").alias("tid"), "held", "regs")
+    return cut(out.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches, less LEEWAY, put both into one family; fits: the sizes allow a link."""
+    """Pairs (a, b) whose sizes allow a link and whose sketches, less LEEWAY, do too."""
 
     def likely(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for na, nb, ra, rb in batches:
@@ -128,24 +147,26 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")), x)
-    sized = lambda least: 100 * F.least("na", "nb") >= least * F.greatest("na", "nb")
-    near = pairs.filter(sized(percent - 100 * LEEWAY)).filter(F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb"))
-    return cut(near.select("a", "b", "times", sized(percent).alias("fits")), "close")
+    sized = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = sized.filter(F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb"))
+    return cut(near.drop("na", "nb", "ra", "rb"), "close")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles): the whole sets of the classes in ids, from the texts."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _full_sets(thin: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, n, shingles): the whole sets of the classes in wanted (cls, id, tid), from the texts of the rows that stand for them."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = utf8(pdf["text"])
             for a, b in chunks(raw):
                 some = shingle_sets(raw[a:b])
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "shingles": [s.tobytes() for s in some]})
+                yield pd.DataFrame({"cls": pdf["cls"].iloc[a:b].to_numpy(), "n": [len(s) for s in some], "shingles": [s.view(np.int64) for s in some]})
 
-    made = docs.join(ids, "id", "left_semi").mapInPandas(tidy(sets), f"id {kind}, shingles binary")
-    return cut(made.dropDuplicates(["id"]) if _repeats(docs) else made, "sets")
+    names = wanted.select("cls", F.col("id").alias("w_id"), F.col("tid").alias("w_tid"))
+    made = thin.join(names, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tid") == F.col("w_tid"))).select("cls", "text")
+    made = cut(made.mapInPandas(tidy(sets), "cls long, n long, shingles array<bigint>"), "sets")
+    # A class stands in several rows only where one id has one text several times.
+    return made if made.count() == wanted.count() else cut(made.dropDuplicates(["cls"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,121 +175,122 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
             out = []
-            for x, y in zip(xs, ys, strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for a, b in zip(xs, ys, strict=True):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pd.Series(out, dtype=bool)
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     return cut(pairs.join(left, "a").join(right, "b").filter(F.pandas_udf(same, "boolean")("sa", "sb")).select("a", "b"), "links")
 
 
-def _labelled(nodes: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
-    """nodes with the label of a column's class (itself, if no link has it yet)."""
-    named = labels.select(F.col("node").alias(column), F.col("label").alias("__label"))
-    return nodes.join(named, column, "left").withColumn(name, F.coalesce("__label", column)).drop("__label")
-
-
-def _family_links(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of a family: what lies outside its largest component against all of it."""
-    rows = _labelled(families.select(F.col("node").alias("id"), F.col("label").alias("family")), "id", labels, "label")
-    parts = rows.groupBy("family", "label").agg(F.count("*").alias("held"))
-    sizes = parts.groupBy("family").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("size"))
-    sizes = sizes.filter("most < size").select(
-        "family", "main", F.expr(f"CAST(ceil((size - most) / {QUERIES}) AS INT)").alias("query_blocks"), F.expr(f"CAST(ceil(size / {MEMBERS}) AS INT)").alias("member_blocks")
-    )
-    rows = cut(rows.join(sizes, "family"), "family")
-    block = lambda of, salt: F.expr(f"CAST(pmod(xxhash64(id, {salt}), {of}) AS INT)")
-    every = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
-    queries = rows.filter("label <> main").withColumn("q", block("query_blocks", 1)).withColumn("m", every("member_blocks")).withColumn("query", F.lit(True))
-    members = rows.withColumn("m", block("member_blocks", 2)).withColumn("q", every("query_blocks")).withColumn("query", F.lit(False))
-    dealt = queries.unionByName(members).join(sets, "id").select("family", "q", "m", "query", "id", "label", "shingles")
-    kind = families.schema["node"].dataType.simpleString()
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["query"]], pdf[~pdf["query"]]
-        held = [np.frombuffer(x, dtype=np.uint64) for x in b["shingles"]]
-        sizes = np.array([len(x) for x in held], dtype=np.int64)
-        words, ids, labels = (np.concatenate(held) if held else np.zeros(0, np.uint64)), b["id"].to_numpy(), b["label"].to_numpy()
-        order = np.argsort(words, kind="stable")
-        owner, words = np.repeat(np.arange(len(held)), sizes)[order], words[order]
-        out: list[tuple] = []
-        for one, label, raw in zip(a["id"], a["label"], a["shingles"], strict=True):
-            s = np.frombuffer(raw, dtype=np.uint64)
-            low, high = np.searchsorted(words, s, "left"), np.searchsorted(words, s, "right")
-            n = high - low
-            spots = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.bincount(owner[spots], minlength=len(held))
-            near = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (labels != label))
-            _, first = np.unique(labels[near], return_index=True)
-            out += [(one, ids[i]) for i in near[first]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return cut(dealt.groupBy("family", "q", "m").applyInPandas(link, f"a {kind}, b {kind}"), "links")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Does any id stand in several rows?"""
-    return bool(docs.groupBy("id").count().filter("count > 1").limit(1).count())
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of their cls (itself, if no link has it yet)."""
+    named = labels.select(F.col("node").alias("cls"), F.col("label").alias("__label"))
+    return rows.join(named, "cls", "left").withColumn("label", F.coalesce("__label", "cls")).drop("__label")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, cls, n) for each band."""
+    """(key, cls) for each band."""
     wide = 2 * BAND
     return classes.withColumn("b", F.explode(F.expr(f"sequence(0, {BANDS - 1})"))).select(
-        F.expr(f"xxhash64(b, substring(regs, b * {wide} + 1, {wide}))").alias("key"), "cls", "n"
+        F.expr(f"xxhash64(b, substring(regs, b * {wide} + 1, {wide}))").alias("key"), "cls", F.col("hi").alias("rank")
     )
 
 
-def _size_centres(bands: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a class b and one of about its size in its bucket, the first in one of ORDERS hashed orders.
-
-    Two grids of sizes lie half a step apart, so that two classes whose sizes allow a link share a step of one of them."""
-    at = F.log("n") / (2 * np.log(100 / percent)) if percent < 100 else F.col("n").cast("double")
-    crowded = bands.join(buckets.filter("size > 2").select("key"), "key")
-    rows = crowded.withColumn("step", F.explode(F.array(2 * F.floor(at), 2 * F.floor(at + 0.5) + 1)))
-    order = F.xxhash64("cls", F.pmod("key", F.lit(ORDERS)))
-    centres = rows.groupBy("key", "step").agg(F.min(F.struct(order.alias("h"), "cls"))["cls"].alias("a"))
-    return rows.join(centres, ["key", "step"]).filter("cls <> a").select("a", F.col("cls").alias("b"), F.lit(0).alias("one"))
-
-
-def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id that links lead to) and kept (id = component_id) of every row."""
+def _open_classes(met: DataFrame, close: DataFrame, labels: DataFrame) -> DataFrame:
+    """The classes whose bucket holds others that they may still link with.
+
+    A bucket's pair of two is settled if it isn't close; larger ones are settled only once one label holds all."""
+    pairs = met.join(close.select("a", "b", F.lit(True).alias("near")), ["a", "b"], "left")
+    rows = pairs.select("key", "size", "near", F.col("b").alias("cls")).unionByName(pairs.select("key", "size", F.lit(True).alias("near"), F.col("a").alias("cls")).distinct())
+    rows = cut(_labelled(rows, labels).select("key", "cls", "label", F.expr("size > 2 OR near").alias("may")), "met")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.every(F.coalesce("may", F.lit(False))).alias("may")).filter("x <> y AND may")
+    return rows.join(mixed.select("key"), "key", "left_semi").select("cls").distinct()
+
+
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different labels that share one of the shingles that a link can't spare.
+
+    Shingles are ordered from rare to frequent.  If two sets link, the larger one's first n - ceil(t n) + 1 and the smaller one's first
+    n - ceil(2 t / (1 + t) n) + 1 shingles share one.  What a whole group has in common comes last and is no key."""
+    rows = sets.select("cls", "n", F.explode("shingles").alias("s"))
+    known = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("cls").orderBy("df", "s")
+    # A shingle of one set only can't be shared: it takes a place among the first ones, but is no key.
+    rows = rows.join(known, "s").withColumn("nth", F.row_number().over(order) + F.col("n") - F.count("*").over(Window.partitionBy("cls")))
+    probe = f"n - CAST(ceil({percent} * n / 100D - 1e-9) AS BIGINT) + 1"
+    least = f"n - CAST(ceil({2 * percent} * n / {100 + percent}D - 1e-9) AS BIGINT) + 1"
+    keys = cut(_labelled(rows.filter(f"nth <= {probe}"), labels).select("s", "cls", "label", "n", F.expr(f"nth <= {least}").alias("small")), "rare")
+    # Only shingles that several labels have can join what isn't linked yet.
+    mixed = keys.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("s")
+    keys = keys.join(mixed, "s", "left_semi")
+    small = keys.filter("small").select("s", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    large = keys.select("s", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    return small.join(large, "s").filter(f"la <> lb AND (na < nb OR (na = nb AND a <> b)) AND 100 * na >= {percent} * nb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketch table, and (cls, hi, lo, n, id, tid, held, label) of every class that has several rows or links."""
     small_batches(docs.sparkSession)
     table = sketch_table(docs, id_col, text_col)
-    by = ["hi", "lo", "n"]
-    classes = cut(table.filter("n > 0 AND id IS NOT NULL").groupBy(*by).agg(F.min("id").alias("cls"), F.min("regs").alias("regs")), "classes")
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    classes = _classes(table)
     bands = _bands(classes)
-    buckets = bands.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    firsts = bands.join(buckets, "key").filter("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"), F.lit(1).alias("one"))
-    met = firsts.unionByName(_size_centres(bands, buckets, percent)).groupBy("a", "b").agg(F.sum("one").alias("times"))
-    close = _close(cut(met, "met"), classes, percent)
-    families = components(close)
+    buckets = bands.groupBy("key").agg(F.min(F.struct("rank", "cls"))["cls"].alias("a"), F.count("*").alias("size")).filter("size > 1")
+    met = cut(bands.join(buckets, "key").filter("cls <> a").select("key", "size", "a", F.col("cls").alias("b")), "met")
+    close = _close(met.groupBy("a", "b").agg(F.count("*").alias("times")), classes, percent)
+    # Full sets: of close classes, and of all in a bucket of several that its first doesn't settle.
+    crowded = met.filter("size > 2").join(close.select("a", "b"), ["a", "b"], "left_anti").select("key").distinct()
+    crowd = met.join(crowded, "key", "left_semi")
+    wanted = reduce(DataFrame.union, [x.select(c) for x in (close, crowd) for c in "ab"]).distinct().withColumnRenamed("a", "cls")
+    wanted = cut(classes.select("cls", "id", "tid").join(wanted, "cls", "left_semi"), "wanted")
+    sets = _full_sets(_thin(docs, id_col, text_col), wanted)
     release(docs.sparkSession)
-    sets = _full_sets(thin, cut(families.select(F.col("node").alias("id")), "ids"))
 
-    best = cut(close.groupBy("b").agg(F.max_by("a", F.struct("fits", "times", "a")).alias("a")).select("a", "b"), "best")
+    best = close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
     links = _linked(best, sets, percent)
     labels = components(links)
+    rest = cut(_open_classes(met, close, labels), "open")
+    more = _close(_rare_pairs(sets.join(rest, "cls", "left_semi"), labels, percent), classes, percent)
     release(docs.sparkSession)
-    labels = components(links.unionByName(_family_links(families, labels, sets, percent)))
+    labels = components(links.unionByName(_linked(more, sets, percent)))
+    linked = labels.select(F.col("node").alias("cls"), "label")
+    named = classes.drop("regs").join(linked, "cls", "left").filter("label IS NOT NULL OR held > 1").withColumn("label", F.coalesce("label", "cls"))
+    return table, cut(named, "named")
+
 
-    named = classes.join(labels, classes.cls == labels.node, "left").select(*by, F.coalesce("label", "cls").alias("component_id"))
-    out = table.filter("n > 0 AND id IS NOT NULL").drop("regs").join(named, by)
-    rest = table.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+def near_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id that links lead to, null if no row there has an id) and kept of every row:
+    its id is its component's, or neither it nor any row there has one."""
+    table, named = _components(docs, percent, id_col, text_col)
+    tops = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    of = named.join(tops, "label").select("hi", "lo", "n", "component_id", F.lit(True).alias("named"))
+    component = F.when(F.col("named") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("id"))
     return (
-        out.select("id", "n", "component_id")
-        .unionByName(rest)
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        table.select("id", "n", "hi", "lo")
+        .join(of, ["hi", "lo", "n"], "left")
+        .select("id", "n", component.alias("c"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each component (repeated rows of one id: one of them)."""
+    """The documents with all their columns, one of each component: the one of the smallest id (of those without an id, of the smallest
+    text hash).  Rows equal in id and text are one document, but rows without words and without an id all stay."""
+    table, named = _components(docs, percent, id_col, text_col)
+    stays = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tid")).alias("top"))
+    of = named.join(stays, "label").select("hi", "lo", "n", F.col("top.id").alias("top_id"), F.col("top.tid").alias("top_tid"), F.lit(True).alias("named"))
+    rows = table.filter("n > 0 OR id IS NOT NULL").select("id", "tid", "hi", "lo", "n").join(of, ["hi", "lo", "n"], "left")
+    stay = F.col("named").isNull() | (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("top_id")) & (F.col("tid") == F.col("top_tid")))
+    rows = rows.select("id", "tid", stay.alias("stay"))
     # Written first, so that its size is known when the join is planned: few ids are broadcast, and no text is shuffled.
-    gone = cut(near_components(docs, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__near_id")).distinct(), "gone")
-    out = docs.join(gone, F.col(id_col) == F.col("__near_id"), "left_anti")
-    return out.dropDuplicates([id_col]) if _repeats(docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL")) else out
+    odd = cut(rows.groupBy("id", "tid").agg(F.first("stay").alias("stay"), F.count("*").alias("rows")).filter("rows > 1 OR NOT stay"), "gone")
+    odd = odd.select(F.col("id").alias("__near_id"), F.col("tid").alias("__near_tid"), F.col("stay").alias("__near_stay"))
+    marked = docs.withColumn("__near_hash", _text_hash(text_col))
+    marked = marked.join(odd, F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.col("__near_hash") == F.col("__near_tid")), "left")
+    once = marked.filter("__near_tid IS NULL")
+    again = odd.filter("__near_stay").limit(1).count()
+    if again:  # repeated rows of a document that stays: one of them
+        once = once.unionByName(marked.filter("__near_stay").dropDuplicates(["__near_id", "__near_tid"]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,7 @@ The model is trained in numpy on the driver on a bounded sample: about `per_grad
 of the id; whole texts, turned into feature counts on the executors.  Scoring is one pass without a shuffle.
 
 Null and empty texts: no grams, shape features of an empty text.  A document rated several times counts with its highest grade; null ratings don't
-count.  With fewer than two grades every document gets that grade (0 if there is none) and tail probability 1.  Repeated rows are
+count, nor do ratings of documents that aren't there.  With fewer than two grades every document gets that grade (0 if there is none) and tail probability 1.  Repeated rows are
 scored alike; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, small_batches, tidy, utf8, word_hashes
+from brindle.llm.common import chunks, shared, small_batches, tidy, utf8, word_hashes
 
 GRAM_BITS = 15
 SHAPES = ("distinct", "length", "capitals", "signs")
@@ -35,14 +35,15 @@ _KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 2
 
 
 def gram_codes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed 3-byte grams of all texts, and each text's first (the end at last)."""
-    buf = np.frombuffer(b"".join(texts) + b"  ", dtype=np.uint8).astype(np.uint32)
+    """The hashed 3-byte grams of all texts (two spaces end each), and each text's first (the end at last)."""
+    buf = np.frombuffer(b"  ".join(texts) + b"  ", dtype=np.uint8).astype(np.uint32)
     c = buf[:-2] * np.uint32(0x9E3779B1) ^ buf[1:-1] * np.uint32(0x85EBCA77) ^ buf[2:] * np.uint32(0xC2B2AE3D)
     c ^= c >> np.uint32(15)
     c *= np.uint32(0x2C1B3C6D)
     at = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) for t in texts], out=at[1:])
-    return (c >> np.uint32(32 - GRAM_BITS)).astype(np.int32), at
+    own = np.arange(at[-1]) + np.repeat(2 * np.arange(len(texts)), np.diff(at))
+    return (c[own] >> np.uint32(32 - GRAM_BITS)).astype(np.int32), at
 
 
 def _bin(share: np.ndarray) -> np.ndarray:
@@ -140,21 +141,24 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_gra
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # About per_grade ids for each grade: a bounded side.
     held = thin.join(F.broadcast(drawn), "id").mapInPandas(tidy(_counts), f"id {kind}, y long, cols binary, vals binary").orderBy("id").toPandas()
+    if held["y"].nunique() < 2:  # labels without documents
+        return OrdinalModel(sorted(held["y"].astype(int).unique().tolist()) or [0], np.zeros(SIZE), np.zeros(0))
     cols = [np.frombuffer(c, dtype=np.int32) for c in held["cols"]]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     values = np.concatenate([np.frombuffer(v, dtype=np.float32) for v in held["vals"]]).astype(np.float64)
+    grades = sorted(held["y"].astype(int).unique().tolist())
     return fit_ordinal(rows, np.concatenate(cols), values, np.searchsorted(grades, held["y"].to_numpy()), grades)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, tail_grade: int | None = None, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, expected_grade, tail_probability (of tail_grade, by default the highest, or more) and kept (from keep_from on)."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
+    get = shared(docs.sparkSession, model)  # a fixed size
     top = model.grades[-1] if tail_grade is None else tail_grade
     below = sum(g < top for g in model.grades)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+        m = get()
         gaps = np.diff(np.asarray(m.grades, dtype=float))
         for texts in batches:
             p = m.above(m.scores(utf8(texts)))

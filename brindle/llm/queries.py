@@ -62,12 +62,25 @@ def op2_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are committed as one batch of inserts, which is sent twice and counts once."""
-    counted = token_rollup.token_counts(_table(spark, sf_dir, "documents"), token_rollup.load_ranks(VOCABULARY), "byte-bpe-50k-v1")
+def op9_token_rollup(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """All documents are inserted, by words as a count to be revised; every batch is sent twice and counts once.  Then all words' counts are
+    revised, the documents of one language are deleted and inserted again, and the batches are folded: totals equal a fresh count."""
+    counted = token_rollup.token_counts(_table(spark, sf_dir, "documents"), token_rollup.load_ranks(spark, vocabulary), "byte-bpe-50k-v1")
+    counted = common.cut(counted.drop("doc_id"), "tokens")  # counted once: the batches read what was kept
+    rough = F.when(F.col("tokenizer") == "words-v1", F.lit(0)).otherwise(F.col("tokens")).cast("long")
+    german = counted.filter("lang = 'de'")
     rollup = token_rollup.TokenRollup(spark, common.scratch_path(spark, "rollup"))
-    for _ in range(2):
-        rollup.commit("load-1", token_rollup.inserts(counted))
+    batches = (
+        ("load", token_rollup.inserts(counted.withColumn("tokens", rough))),
+        ("revise", token_rollup.revisions(counted.withColumn("rough", rough).filter("rough <> tokens"), "rough")),
+        ("delete", token_rollup.deletes(german)),
+        ("reload", token_rollup.inserts(german)),
+    )
+    for k, (name, changes) in enumerate(batches):
+        for _ in range(2):
+            rollup.commit(name, changes)
+        if k == 1:
+            rollup.compact()
     return rollup.totals()
 
 

@@ -1,12 +1,12 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is its hashed word vector, beside two character inputs: the mean of its hashed 4-byte grams' vectors (the gram that
-starts at the space before the word marks its front), and the mean of its hashed prefixes' vectors.  One recurrent pass runs forward, one backward over windows of WINDOW words
+starts at the space before the word marks its front), and the sum of its hashed prefixes' vectors by FRONT_PART.  One recurrent pass runs forward, one backward over windows of WINDOW words
 that overlap by WINDOW - STRIDE; attention pools the states, a logistic layer scores the pool, and a document's score is
 that of its highest window.  Every window of the whole text is scored.
 
-The network is trained in numpy on the driver on a bounded sample (about 1000 toxic and 1500 other documents, whole texts), by labels
-of the training part only: rows whose crc32(doc_id as text) mod 3 is not 1.  Each step takes the highest window of some toxic
+The network is trained in numpy in one executor task on a bounded sample (about 1000 toxic and 2500 other documents, whole texts, of
+SAMPLE_BYTES together at most), by labels of the training part only: rows whose crc32(doc_id as text) mod 3 is not 1.  Each step takes the highest window of some toxic
 documents, and the highest and a random window of some others.  Labels, language, source and id are never inputs.
 
 Null and empty texts: the score of a window without words.  A table without labels of both kinds gives a model that accepts everything
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, release, small_batches, tidy, utf8, word_spans
+from brindle.llm.common import BYTE_VALUES, byte_powers, chunks, mix64, release, shared, small_batches, tidy, utf8, word_spans
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS, FRONT_BITS = 14, 16, 16
@@ -33,6 +33,8 @@ WORD_DIM, GRAM_DIM, FRONT_DIM, HIDDEN = 4, 4, 4, 8
 DIM = WORD_DIM + GRAM_DIM + FRONT_DIM
 #: Bytes of the prefixes.
 FRONTS = (4, 5, 6, 7, 8, 9, 10, 12)
+#: The prefixes' vectors add up to a word's, divided by this.
+FRONT_PART = 2
 THRESHOLD = 0.7
 #: Roots of a likelihood ratio up to this are taken for chance; the vectors learn at this part of the rate.
 SURE = 3.5
@@ -41,6 +43,8 @@ SLOW = 0.02
 BLANK, NOISE = 0.1, 0.2
 #: What a toxic window weighs against another one.
 POSITIVE = 2.5
+#: Bytes of text that training takes at most; a text beyond what is left of them isn't learned from.
+SAMPLE_BYTES = 48_000_000
 STEP_BYTES = 600_000
 STEP_WINDOWS = 2048
 F32 = np.float32
@@ -154,11 +158,7 @@ class Model:
             x[:-1, WORD_DIM : WORD_DIM + GRAM_DIM] /= np.diff(w.gram_at).astype(F32)[:, None]
             for j in range(len(FRONTS)):
                 x[:-1, WORD_DIM + GRAM_DIM :] += self.p["front"][w.front[:, j]]
-            x[:-1, WORD_DIM + GRAM_DIM :] /= len(FRONTS)
-            # A word that repeats the one before it in its text gives no input: a long run of one word counts once.
-            again = (w.word[1:] == w.word[:-1]) & (w.front[1:] == w.front[:-1]).all(axis=1)
-            again[w.text_at[(w.text_at > 0) & (w.text_at < len(w.word))] - 1] = False
-            x[1:-1][again] = 0
+            x[:-1, WORD_DIM + GRAM_DIM :] /= FRONT_PART
         return x
 
     def states(self, x: np.ndarray, place: np.ndarray, length: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -213,7 +213,7 @@ class Model:
         return _sigmoid(out)
 
     def gradients(self, w: Words, x: np.ndarray, first: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Backpropagation through time for the mean logistic loss."""
+        """Backpropagation through time for the mean logistic loss; the windows share no word."""
         n = len(first)
         place = placed(first, length, len(x) - 1)
         keep: list = []
@@ -243,14 +243,14 @@ class Model:
             g[f"w{d}"] += x[place[t]].T @ dgates
             g[f"c{d}"] += dgates.sum(axis=0)
             carry[d] = dh * (1 - z) + drh * r + dgates[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
-            np.add.at(dx, place[t], dgates @ self.p[f"w{d}"].T)
+            dx[place[t]] += dgates @ self.p[f"w{d}"].T  # a row's step is its own; padding gets nothing
         rows = np.unique(place)
         rows = rows[rows < len(x) - 1]
         g["word"] = (w.word[rows], dx[rows, :WORD_DIM])
         counts = np.diff(w.gram_at)[rows]
         spots = np.repeat(w.gram_at[rows] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         g["gram"] = (w.gram[spots], np.repeat(dx[rows, WORD_DIM : WORD_DIM + GRAM_DIM] / counts[:, None], counts, axis=0))
-        g["front"] = (w.front[rows].ravel(), np.repeat(dx[rows, WORD_DIM + GRAM_DIM :] / len(FRONTS), len(FRONTS), axis=0))
+        g["front"] = (w.front[rows].ravel(), np.repeat(dx[rows, WORD_DIM + GRAM_DIM :] / FRONT_PART, len(FRONTS), axis=0))
         return g, loss
 
 
@@ -331,38 +331,58 @@ def _start_vectors(model: Model, w: Words, y: np.ndarray) -> None:
         model.p[name][:, 0] = np.sign(a - n * p) * np.clip((root - SURE) / 2, 0, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, other: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most about that many toxic and other labelled documents, drawn by a hash of the id."""
-    y = labels.select(F.col(id_col).alias("id"), F.col("toxic")).groupBy("id").agg(F.max("toxic").alias("y")).filter("y IS NOT NULL")
+def _train_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One task: the sample in the order it comes in, up to SAMPLE_BYTES of text; a row for each weight of the model."""
+    texts, y, left = [], [], SAMPLE_BYTES
+    for pdf in batches:
+        for t, label in zip(utf8(pdf["text"]), pdf["y"], strict=True):
+            if len(t) <= left:
+                left -= len(t)
+                texts.append(t)
+                y.append(label)
+    model = train(texts, np.array(y, dtype=np.int64))
+    names = sorted(model.p) if model.trained else []
+    yield pd.DataFrame({"name": names, "shape": [list(model.p[k].shape) for k in names], "weights": [model.p[k].astype(F32).tobytes() for k in names]}, dtype=object)
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, other: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on at most about that many toxic and other labelled documents, drawn by a hash of the id, in one executor task.
+
+    The driver gets only the weights (2.4 MB)."""
+    small_batches(docs.sparkSession)
+    y = labels.select(F.col(id_col).alias("id"), F.col("toxic")).groupBy("id").agg(F.max("toxic").alias("y")).filter("y IN (0, 1)")
     y = y.filter(~held_out("id"))
-    sizes = {r[0]: r[1] for r in y.groupBy("y").count().collect() if r[0] in (0, 1)}  # two rows
+    sizes = {r[0]: r[1] for r in y.groupBy("y").count().collect()}  # two rows
     if len(sizes) < 2:
         return Model.fresh(0)
     share = F.when(F.col("y") == 1, F.lit(toxic / sizes[1])).otherwise(F.lit(other / sizes[0]))
-    drawn = y.filter((F.col("y") == 0) | (F.col("y") == 1)).filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))
-    # About toxic + other ids at most: a bounded side.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").orderBy("id").toPandas()
-    model = train(utf8(rows["text"]), rows["y"].to_numpy())
-    del rows
+    order = F.xxhash64("id", F.lit(11))
+    drawn = y.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))
+    # About toxic + other ids at most: a bounded side, and a bounded number of texts in the one task.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    rows = rows.repartition(1).sortWithinPartitions(order, "id", "text").select("text", F.col("y").cast("long").alias("y"))
+    held = rows.mapInPandas(tidy(_train_task), "name string, shape array<long>, weights binary").collect()
+    model = Model({r[0]: np.frombuffer(r[2], dtype=F32).reshape(r[1]) for r in held}, True) if held else Model.fresh(0)
     release(docs.sparkSession)
     return model
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Column, object]:
-    """The score column of a document's text, and the broadcast that holds the model (a fixed size)."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score column of a document's text; the broadcast model has a fixed size."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = get()
         for texts in batches:
-            yield pd.Series(sent.value.scores(utf8(texts)), dtype="float64")
+            yield pd.Series(held.scores(utf8(texts)), dtype="float64")
 
-    return F.pandas_udf(tidy(score), "double")(F.col(text_col)), sent
+    return F.pandas_udf(tidy(score), "double")(F.col(text_col))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score and predicted (1 from THRESHOLD on) of every document."""
-    score, _ = scored(docs, model, text_col)
+    score = scored(docs, model, text_col)
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score.alias("score")).select(
         id_col, "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
@@ -370,7 +390,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents that the model doesn't reject, with all their columns."""
-    score, _ = scored(docs, model, text_col)
+    score = scored(docs, model, text_col)
     return docs.withColumn("__tox_score", score).filter(F.col("__tox_score") < THRESHOLD).drop("__tox_score")
 
 

@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row that the mix takes."""
-    return sharding.shard_rows(docs)
+    """Every row that the mix takes, with its text, its place in training order (row_number), and its shard and slot."""
+    return sharding.shard_in_order(docs)
 
 
 STAGES = [

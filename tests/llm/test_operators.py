@@ -25,6 +25,27 @@ def rows(spark, table="documents", columns="doc_id, text"):
 # ---- URL filters ---------------------------------------------------------------------------------------------------
 
 
+def mixed(h):
+    """The splitmix64 finaliser on Python integers."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def brute_logit(model, host, path):
+    """One n-gram after the other."""
+    weights = []
+    for salt, text in ((0, host), (0x5BD1, path)):
+        raw = f"^{text}$".encode()
+        for n in (3, 4, 5):
+            for i in range(len(raw) - n + 1):
+                h = salt
+                for b in raw[i : i + n]:
+                    h = mixed((h * 0x100000001B3 + b + 1) % 2**64)
+                weights.append(model.weights[h % len(model.weights)])
+    return sum(weights) / max(1, len(weights)) ** 0.5 + model.bias
+
+
 def test_url_rules_and_model(spark):
     model = url_filter.train(url_filter.training_table())
     urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x#y", "http://example.org/en/17", "http://example.org", "https://a.com/fr/", "https://com/de/x", "x://acme.net?path=/fr/", "http://cheap-pills.example.net/en/3"] + [None]
@@ -36,18 +57,42 @@ def test_url_rules_and_model(spark):
         fits = [(len(r), r, v) for v, r in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
         best = max(fits, default=None)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best[1])
-        p = 1 / (1 + np.exp(-model.logit(host, path)))
+        p = 1 / (1 + np.exp(-brute_logit(model, host, path)))
+        assert got[i].block_probability == pytest.approx(p, abs=2e-6)
         assert got[i].verdict == (best[2] if best else "block" if p >= 0.5 else "allow")
     assert got[3].host == "www.example.org" and got[3].rule == "example.org/es/" and got[5].rule is None and got[9].verdict == "block"
     assert url_filter.judge_urls(df.limit(0), model).count() == 0
 
 
-def test_url_model_learns():
-    table = url_filter.training_table()
-    held = [x for i, x in enumerate(table) if i % 4 == 0]
-    model = url_filter.train([x for i, x in enumerate(table) if i % 4])
-    right = sum((model.logit(*url_filter.split_url(u)) > 0) == bool(y) for u, y in held)
-    assert right / len(held) > 0.95
+def test_urls_of_small_table(spark):
+    model = url_filter.train(url_filter.training_table())
+    pages = dict(rows(spark, "pages", "page_id, url"))
+    got = Q.op1_url_filter(spark, SMALL).collect()
+    assert Counter(r.page_id for r in got) == Counter(pages.keys())
+    for r in got:
+        host, path = url_filter.split_url(pages[r.page_id])
+        fits = [(len(t), t, v) for v, t in url_filter.RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.partition("/")[2])]
+        best = max(fits, default=None)
+        z = brute_logit(model, host, path)
+        assert (r.host, r.path, r.rule) == (host, path, best and best[1]) and r.verdict == (best[2] if best else "block" if z >= 0 else "allow")
+
+
+def test_awkward_urls(spark):
+    model = url_filter.train(url_filter.training_table())
+    long = "http://a.example.com/" + "x" * 400_000
+    df = spark.createDataFrame([(1, None), (None, ""), (2, long), (2, long), (3, "http://casino-win.net/" + long)], "page_id long, url string")
+    got = url_filter.judge_urls(df, model).collect()
+    assert Counter(r.page_id for r in got) == Counter([1, None, 2, 2, 3]) and {r.verdict for r in got if not r.host} == {"allow"}
+    assert len({(r.verdict, r.block_probability) for r in got if r.page_id == 2}) == 1 and max(len(r.path) for r in got) > 400_000
+
+
+def test_url_model_learns_unseen_hosts():
+    unseen = lambda i: i % 4 == 0
+    model = url_filter.train(url_filter.training_table(unseen))
+    held = url_filter.training_table(lambda i: not unseen(i))
+    hosts, paths = zip(*(url_filter.split_url(u) for u, _ in held), strict=True)
+    right = (model.logits(hosts, paths) > 0) == np.array([y == 1 for _, y in held])
+    assert len(held) > 200 and right.mean() > 0.95
 
 
 # ---- fingerprints ------------------------------------------------------------------------------------------------------
@@ -121,7 +166,11 @@ def brute_leaks(docs, items):
         a = tokens(t)
         for i, u in items:
             b = tokens(u)
-            if len(b) < decontam.MIN_ITEM or not set(a) & set(b):
+            if not set(a) & set(b):
+                continue
+            if len(b) < decontam.MIN_ITEM:
+                if any(a[k : k + len(b)] == b for k in range(len(a))):
+                    out.add((d, i))
                 continue
             for shift in range(-len(b) + 1, len(a)):
                 run = start = hit = best = 0
@@ -155,7 +204,8 @@ def test_leaks_with_substitutions(spark):
             body[at:at] = [w.upper() + "," for w in passage]
             want.add((d, i))
         docs.append((d, " ".join(body)))
-    docs += [(100, None), (101, ""), (102, "w1")]
+    docs += [(100, None), (101, ""), (102, "w1"), (103, "x " + items[4][1].upper() + " y"), (104, " ".join(items[4][1].split()[:2]))]
+    want.add((103, 4))
     df = spark.createDataFrame([(d, t, None, None, None) for d, t in docs], DOCS).selectExpr("*", "1 AS item", "2 AS words", "3 AS n", "4 AS h")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, b).collect()}
@@ -173,6 +223,18 @@ def test_leaks_of_small_tables(spark, monkeypatch):
     assert got == {(x.doc_id, x.item_id) for x in Q.op3_spaced_seed_decontam(spark, SMALL).collect()}
 
 
+def test_leaks_of_awkward_rows(spark):
+    text = AWKWARD[3][1]
+    items = spark.createDataFrame([(1, text, "x"), (None, text.replace("fox", "cat"), "x"), (2, "nobody sees it", "y"), (2, "one", "y"), (3, None, "z")], "item_id long, text string, words string")
+    df = frame(spark)
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, items).collect()}
+    assert got == {(3, 2)} | {(d, i) for d in (4, 5) for i in (1, None, 2)}
+    kept = decontam.drop_contaminated(df, items)
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 6, 7, 8, 9, None], key=str)
+    whole = spark.createDataFrame([(9, AWKWARD[6][1])], "item_id long, text string")
+    assert {r.doc_id for r in decontam.find_leaks(df, whole).collect()} == {7, 8}
+
+
 def test_leaks_use_no_python(spark):
     plan = Q.op3_spaced_seed_decontam(spark, SMALL)._jdf.queryExecution().toString() + Q.op8_feistel_shards(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -208,10 +270,47 @@ def test_quality_of_awkward_rows(spark):
     out = quality.score_quality(df, m, tail_grade=3).collect()
     assert len(out) == len(AWKWARD) and all(1 <= r.expected_grade <= 5 and 0 <= r.tail_probability <= 1 for r in out)
     assert quality.score_quality(df.limit(0), m).count() == 0
+    assert quality.fit(df.limit(0), ratings).grades == [0] and quality.fit(df, ratings.filter("doc_id = 77")).grades == [1]
+    assert quality.fit(df, spark.createDataFrame([(77, 1), (78, 2)], "doc_id long, quality int")).grades == [0]
     flat = quality.score_quality(df, quality.fit(df, ratings.limit(0))).collect()
     assert all(r.tail_probability == 1 and r.expected_grade == 0 for r in flat)
 
 
+def brute_quality(model, text):
+    """One gram after the other: the score of a text."""
+    raw = (text or "").encode()
+    size, grams = len(raw), []
+    for i in range(size):
+        a, b, c = (raw + b"  ")[i : i + 3]
+        h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        grams.append(model.weights[h >> 32 - quality.GRAM_BITS])
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    shares = (len(set(words)) / max(1, len(words)), size // max(1, len(words)) // 2, sum(65 <= b <= 90 for b in raw) / max(1, size), sum(0x21 <= b < 0x7F and not chr(b).isalnum() for b in raw) / max(1, size))
+    bins = [min(11, int(x * 12)) if k != 1 else min(11, x) for k, x in enumerate(shares)]
+    return sum(grams) / max(1, size) + sum(model.weights[(1 << quality.GRAM_BITS) + 12 * k + b] for k, b in enumerate(bins))
+
+
+def test_quality_scores_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    model = quality.OrdinalModel([1, 2, 4], r.normal(0, 1, quality.SIZE), np.array([-0.3, 0.4]))
+    texts = dict(rows(spark))
+    for x in quality.score_quality(spark.read.parquet(f"{SMALL}/documents.parquet"), model).collect():
+        s = brute_quality(model, texts[x.doc_id])
+        above = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
+        assert x.expected_grade == pytest.approx(1 + above[0] + 2 * above[1], abs=1e-6) and x.tail_probability == pytest.approx(above[1], abs=1e-6)
+
+
+def test_quality_of_five_grades(spark):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice(["good", "fine", "able"]) if r.random() < i % 5 / 4 else r.choice(["bad", "poor", "weak"]) for _ in range(80)), None, None, None) for i in range(400)]
+    df = spark.createDataFrame(docs, DOCS)
+    model = quality.fit(df, spark.createDataFrame([(i, 10 * (i % 5)) for i in range(0, 400, 2)], "doc_id long, quality int"))
+    assert model.grades == [0, 10, 20, 30, 40] and (np.diff(model.thresholds) > 0).all()
+    got = quality.score_quality(df, model).filter("doc_id % 2 = 1").collect()
+    assert np.mean([abs(x.expected_grade - 10 * (x.doc_id % 5)) for x in got]) < 5
+
+
 # ---- secrets -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -365,12 +464,45 @@ def test_near_copies_of_awkward_rows(spark):
     out = neardup.near_components(df).collect()
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in AWKWARD)
     comp = {r.doc_id: r.component_id for r in out}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out if r.doc_id is not None)
     assert comp[5] == 4 and comp[8] == 7 and comp[1] == 1 and comp[2] == 2 and comp[None] is None
     kept = [r.doc_id for r in neardup.keep_one(df).collect()]
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 6, 7, 9, None], key=str)
     assert neardup.near_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "do re mi fa so la ti do re")
+    docs = [(None, a), (None, a), (None, b), (5, b), (7, c), (7, c), (7, a + " theta"), (None, None), (None, ""), (9, ""), (9, ""), (8, c)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_components(df).collect())
+    want = [(None, 3, 7, False)] * 2 + [(7, 4, 7, True), (None, 3, 5, False), (5, 3, 5, True), (7, 5, 7, True), (7, 5, 7, True), (8, 5, 7, False)]
+    want += [(None, 0, None, True)] * 2 + [(9, 0, 9, True)] * 2
+    assert got == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in neardup.keep_one(df).collect())
+    assert kept == Counter([(7, a + " theta"), (5, b), (7, c), (None, None), (None, ""), (9, "")])
+
+
+def test_texts_among_unlike_crowds_are_linked(spark):
+    """Two near documents, each of whose buckets begins with one of many that share some passage with both."""
+    r = random.Random(21)
+    docs, pairs = [], []
+    for k in range(4):
+        base = [f"w{r.randrange(10**7)}" for _ in range(304)]
+        for i in range(150):
+            own = [f"w{r.randrange(10**7)}" for _ in range(304)]
+            at = r.randrange(0, 104)
+            own[at : at + 196] = base[at : at + 196]
+            docs.append((1000 * k + i, " ".join(own)))
+        near = list(base)
+        near[10:40] = [f"w{r.randrange(10**7)}" for _ in range(30)]
+        docs += [(1000 * k + 500, " ".join(base)), (1000 * k + 501, " ".join(near))]
+        pairs.append((1000 * k + 500, 1000 * k + 501))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
+    comp = {x.doc_id: x.component_id for x in neardup.near_components(df).collect()}
+    assert all(comp[b] == comp[a] == a for a, b in pairs) and sum(i != c for i, c in comp.items()) == len(pairs)
+
+
 def test_estimate_is_corrected():
     r = np.random.default_rng(5)
     errors = []
@@ -418,6 +550,19 @@ def test_shards_of_awkward_rows(spark):
     assert sharding.shard_rows(frame(spark).limit(0)).count() == 0
 
 
+def test_shards_in_file_order(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/docs"
+    spark.range(5000).selectExpr("id AS doc_id", "concat('t', id) AS text", "id AS slot").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    out = sharding.shard_in_order(spark.read.parquet(path)).collect()
+    assert len(out) == 5000 and all(r.row_number == r.doc_id and (r.shard, r.slot) == sharding.locate(r.doc_id, 5000, 16) for r in out)
+    spark.read.parquet(path).limit(0).write.parquet(f"{path}-none")
+    assert sharding.shard_in_order(spark.read.parquet(f"{path}-none")).count() == 0
+    monkeypatch.setattr(sharding, "COPIES", 100)  # one row many times
+    hot = spark.range(1234).selectExpr("1L AS doc_id", "'same' AS text")
+    got = sharding.shard_rows(hot).collect()
+    assert sorted(r.row_number for r in got) == list(range(1234))
+
+
 # ---- token rollups ------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -442,10 +587,41 @@ def test_rollup_deltas(spark, tmp_path):
     assert "b4" not in roll.committed() and total() == want
 
 
+def test_commit_during_compaction(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, op string, old_tokens long, tokens long"
+    change = spark.createDataFrame([("s", "en", "t", "insert", 0, 10)], schema)
+    roll, other = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/roll") for _ in range(2))
+    ids = ["a/b=c", "..", "x y"]
+    assert roll.commit(ids[0], change)
+    state = roll._state
+
+    def late():  # another writer's batch comes between reading the markers and adding up
+        out = state()
+        assert other.commit(ids[1], change)
+        return out
+
+    roll._state = late
+    assert roll.compact()
+    roll._state = state
+    total = lambda: [(r.n_docs, r.n_tokens) for r in roll.totals().collect()]
+    assert total() == [(2, 20)] and roll.committed() == set(ids[:2])
+    assert not other.commit(ids[0], change) and not other.commit(ids[1], change) and other.commit(ids[2], change)
+    assert total() == [(3, 30)] and roll.compact() and total() == [(3, 30)] and roll.committed() == set(ids)
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, op string, old_tokens long, tokens long"
+    change = spark.createDataFrame([("s", "en", "t", "insert", 0, 10)], schema)
+    roll, other = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/roll") for _ in range(2))
+    mark = roll._mark
+    roll._mark = lambda *a: (other.commit("b", change), mark(*a))[1]  # both have passed the check
+    assert not roll.commit("b", change) and [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(1, 10)]
+
+
 def test_token_counts(spark):
     import tiktoken
 
-    ranks = token_rollup.load_ranks(Q.VOCABULARY)
+    ranks = token_rollup.load_ranks(spark, Q.VOCABULARY)
     enc = tiktoken.Encoding("t", pat_str=token_rollup.BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in Q.op9_token_rollup(spark, SMALL).collect()}
     want = defaultdict(lambda: [0, 0])
@@ -455,6 +631,7 @@ def test_token_counts(spark):
             want[source, lang, name][1] += n
     assert got == {k: tuple(v) for k, v in want.items()}
     assert token_rollup.token_counts(frame(spark), ranks, "v").count() == 2 * len(AWKWARD)
+    assert token_rollup.token_counts(frame(spark).limit(0), ranks, "v").count() == 0
 
 
 # ---- toxicity ---------------------------------------------------------------------------------------------------------------------------------------
@@ -509,12 +686,66 @@ def test_toxicity_learns_without_held_out_labels(spark):
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
+def brute_score(m, text):
+    """One window, gate and unit after the other, in double precision."""
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    raw = b" " + re.sub(rb"[\x09-\x0D]", b" ", (text or "").encode().lower()) + b"   "
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[^ ]+", raw)]
+
+    def bucket(part, bits):
+        total = sum(int(common.BYTE_VALUES[b]) * pow(common._BASE, i, 2**64) for i, b in enumerate(part)) % 2**64
+        return mixed(total) >> 64 - bits
+
+    def gram(part):
+        c = sum(b * k for b, k in zip(part, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), strict=True)) & 0xFFFFFFFF
+        c = (c ^ c >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        return c >> 32 - toxicity.GRAM_BITS
+
+    def vector(at, w):
+        grams = [p["gram"][gram(raw[at - 1 + i : at + 3 + i])] for i in range(max(1, len(w) - 2))]
+        fronts = [p["front"][bucket(w[:k], toxicity.FRONT_BITS)] for k in toxicity.FRONTS]
+        return np.concatenate([p["word"][bucket(w, toxicity.WORD_BITS)], np.mean(grams, axis=0), np.sum(fronts, axis=0) / toxicity.FRONT_PART])
+
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    n, h, best = len(words), toxicity.HIDDEN, -np.inf
+    for first in range(0, max(1, n), toxicity.STRIDE):
+        xs = [vector(*w) for w in words[first : first + toxicity.WINDOW]]
+        states = [[None, None] for _ in xs]
+        for j, (d, order) in enumerate((("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1)))):
+            s = np.zeros(h)
+            for t in order:
+                g = xs[t] @ p[f"w{d}"] + p[f"c{d}"]
+                zr = sig(g[: 2 * h] + s @ p[f"u{d}"][:, : 2 * h])
+                c = np.tanh(g[2 * h :] + (zr[h:] * s) @ p[f"u{d}"][:, 2 * h :])
+                s = s + zr[:h] * (c - s)
+                states[t][j] = s
+        rows_ = np.array([np.concatenate(x) for x in states]).reshape(len(xs), 2 * h)
+        a = np.exp(rows_ @ p["att"])
+        pool = (a / a.sum()) @ rows_ if len(xs) else np.zeros(2 * h)
+        best = max(best, float(pool @ p["out"] + p["bias"][0]))
+        if first + toxicity.WINDOW >= n:
+            break
+    return sig(best)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    m = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert m.trained
+    texts = dict(rows(spark))
+    got = toxicity.score_documents(spark.read.parquet(f"{SMALL}/documents.parquet"), m).collect()
+    short = [r for r in got if len(texts[r.doc_id] or "") < 3000]
+    assert len(short) > 100
+    for r in short:
+        assert r.score == pytest.approx(brute_score(m, texts[r.doc_id]), abs=1e-4)
+
+
 def test_toxicity_of_awkward_rows(spark):
     df = frame(spark)
     labels = spark.createDataFrame([(2, 0), (3, 0), (4, 1), (4, None), (5, 1), (6, 0), (7, 0), (9, 1)], "doc_id long, toxic int")
     m = toxicity.fit(df, labels)
     out = toxicity.score_documents(df, m).collect()
     assert len(out) == len(AWKWARD) and all(0 <= r.score <= 1 for r in out)
-    assert toxicity.score_documents(df.limit(0), m).count() == 0
+    assert toxicity.score_documents(df.limit(0), m).count() == 0 and not toxicity.fit(df.limit(0), labels).trained
     assert toxicity.keep_clean(df, toxicity.fit(df, labels.limit(0))).columns == df.columns
     assert toxicity.keep_clean(df, toxicity.fit(df, labels.limit(0))).count() == len(AWKWARD)
