@@ -6,18 +6,24 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's spark.checkpoint.dir (a temporary folder only where that is unset) and read again."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str = "kept") -> str:
+    """A fresh path in the cluster's spark.checkpoint.dir (a temporary folder only where that is unset and all runs on one machine)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/brindle-{uuid.uuid4().hex}"
+    return f"{top}/brindle-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import rng
+from brindle.functions.lineage import ranked
+from brindle.functions.text import padded
 from brindle.operators.pii import digits
 
 STRATEGIES = ("mask", "hash", "synthetic", "generalize", "redact", "tokenize", "shuffle", "noise", "none")
@@ -18,10 +20,10 @@ DEFAULTS = {
     "state": "shuffle", "country": "shuffle", "ethnicity": "redact", "religion": "redact", "political": "redact",
 }
 #: Pools of invented names.
-FIRST_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Betty Anthony Margaret".split()
-LAST_NAMES = "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Thomas Taylor Moore Jackson Martin".split()
-STREET_TYPES = "Street Avenue Boulevard Drive Lane Court Way".split()
-CITIES = "Springfield Franklin Greenville Bristol Clinton Madison Georgetown Salem Fairview Manchester Milton Newport".split()
+FIRST_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "William", "Elizabeth", "David", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Christopher", "Lisa", "Daniel", "Nancy", "Matthew", "Betty", "Anthony", "Margaret")
+LAST_NAMES = ("Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis", "Rodriguez", "Martinez", "Hernandez", "Lopez", "Gonzalez", "Wilson", "Anderson", "Thomas", "Taylor", "Moore", "Jackson", "Martin")
+STREET_TYPES = ("Street", "Avenue", "Boulevard", "Drive", "Lane", "Court", "Way")
+CITIES = ("Springfield", "Franklin", "Greenville", "Bristol", "Clinton", "Madison", "Georgetown", "Salem", "Fairview", "Manchester", "Milton", "Newport")
 EMAIL_DOMAINS = ("example.com", "mail.example.org", "test.example.net", "demo.example.io")
 SALARY_BANDS = ((30_000, "<$30K"), (50_000, "$30K-$50K"), (75_000, "$50K-$75K"), (100_000, "$75K-$100K"), (150_000, "$100K-$150K"), (None, "$150K+"))
 
@@ -94,25 +96,15 @@ def noise(c: Column, key: Column, seed: int, percent: float = 10.0) -> Column:
 
 
 def tokens(df: DataFrame, column: str, prefix: str = "TKN_") -> DataFrame:
-    """(value, token): distinct values numbered densely by order, in ranges, so no task sees them all; the way back is the same table."""
-    values = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value IS NOT NULL").distinct()
-    at = values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
-    from brindle.functions.lineage import kept
+    """(value, token): distinct values numbered densely by order, in ranges, so no task sees them all; the way back is the same table.
 
-    at = kept(at)  # the ranges must be the same in both passes
-    sizes = {r.part: r.n for r in at.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    base, bases = 0, []
-    for part in sorted(sizes):
-        bases += [F.lit(part), F.lit(base).cast("long")]
-        base += sizes[part]
-    number = (F.create_map(*bases)[F.col("part")] if bases else F.lit(0)) + (F.col("id").bitwiseAND((1 << 33) - 1)) + 1
-    return at.select("value", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0")).alias("token"))
+    Numbers have six digits at least."""
+    values = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value IS NOT NULL").distinct()
+    return ranked(values, ["value"]).select("value", F.concat(F.lit(prefix), padded(F.col("rank") + 1, 6)).alias("token"))
 
 
 def shuffled(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     """Non-null values change places: the i-th row by key gets the i-th value by hash.  Ranks come from ranges, not one task."""
-    from brindle.functions.lineage import ranked
-
     have = df.filter(F.col(f"`{column}`").isNotNull())
     rows = ranked(have.select(F.col(key).alias("__k")), ["__k"]).withColumnRenamed("rank", "__r")
     values = ranked(have.select(F.col(f"`{column}`").alias("__v"), rng.order_key(seed, F.col(key)).alias("__h"), F.col(key).alias("__k2")), ["__h", "__k2"]).select("__v", F.col("rank").alias("__r"))
@@ -194,7 +186,7 @@ class TokenStore:
         mine = held.filter(F.col("column") == column)
         new = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value IS NOT NULL").distinct().join(mine.select("value"), "value", "left_anti")
         last = mine.agg(F.max(F.regexp_extract("token", r"([0-9]+)$", 1).cast("long"))).first()[0] or 0
-        named = tokens(new, "value", prefix).select(F.lit(column).alias("column"), "value", F.concat(F.lit(prefix), F.lpad((F.regexp_extract("token", r"([0-9]+)$", 1).cast("long") + last).cast("string"), 6, "0")).alias("token"))
+        named = tokens(new, "value", prefix).select(F.lit(column).alias("column"), "value", F.concat(F.lit(prefix), padded(F.regexp_extract("token", r"([0-9]+)$", 1).cast("long") + last, 6)).alias("token"))
         held.unionByName(named).write.parquet(f"{self.path}/{len(self._versions()):08d}")
         lookup = self.table().filter(F.col("column") == column).select(F.col("value").alias("__value"), F.col("token").alias("__token"))
         return df.join(lookup, F.col(f"`{column}`").cast("string") == F.col("__value"), "left").withColumn(column, F.col("__token")).drop("__value", "__token")

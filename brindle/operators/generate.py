@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import distributions, rng
 from brindle.functions.distributions import clip
+from brindle.functions.text import padded
 from brindle.operators import anonymize
 from brindle.plans import specs
 
@@ -209,11 +210,11 @@ def value(kind: str, name: str, key: Column, seed: int, unique: bool = False, lo
         "phone": lambda: F.concat(F.lit("555-"), text(number(100, 999, ".a")), F.lit("-"), text(number(1000, 9999, ".b"))),
         "address": lambda: F.concat_ws(" ", text(number(1, 9999, ".h")), pick(anonymize.LAST_NAMES, ".s"), pick(anonymize.STREET_TYPES, ".t")),
         "city": lambda: pick(anonymize.CITIES),
-        "zipcode": lambda: F.lpad(text(number(501, 99_950)), 5, "0"),
+        "zipcode": lambda: padded(number(501, 99_950), 5),
         "text": lambda: F.concat_ws(" ", *(pick(specs.POOLS["word"], f".{i}") for i in range(7))),
         "sentence": lambda: F.concat(title(".0"), F.lit(" "), F.concat_ws(" ", *(pick(specs.POOLS["word"], f".{i}") for i in range(1, 6))), F.lit(".")),
         "uuid": lambda: F.regexp_replace(F.md5(F.concat(F.lit(f"{seed}:{s}:"), text(key))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
-        "sku": lambda: F.concat(F.upper(F.substring(F.md5(F.concat(F.lit(f"{seed}:{s}:"), text(key))), 1, 3)), F.lit("-"), F.lpad(text(key + 1), 5, "0")),
+        "sku": lambda: F.concat(F.upper(F.substring(F.md5(F.concat(F.lit(f"{seed}:{s}:"), text(key))), 1, 3)), F.lit("-"), padded(key + 1, 5)),
         "product_name": lambda: F.concat_ws(" ", title(".w"), pick(specs.POOLS["edition"], ".e")),
     }
     if kind in made:
@@ -225,8 +226,7 @@ def value(kind: str, name: str, key: Column, seed: int, unique: bool = False, lo
 def dimension(spark: SparkSession, template: str | list[dict], rows: int, seed: int = 42) -> DataFrame:
     """A dimension by template or by columns {name, generator or type, unique, values, weights, nullable (share of nulls), min, max}."""
     if isinstance(template, str):
-        parts = [x.split(":") for x in specs.DIMENSIONS[template].split()]
-        columns = [{"name": n, "generator": g.lstrip("!"), "unique": g[0] == "!"} for n, g in parts]
+        columns = [{"name": n, "generator": g.lstrip("!"), "unique": g[0] == "!"} for n, g in specs.DIMENSIONS[template]]
     else:
         columns = template
     key, out = F.col("id"), []
@@ -269,54 +269,81 @@ def fact(spark: SparkSession, template: str, rows: int, dimension_sizes: dict[st
     return spark.range(rows).select(*out)
 
 
-def weighted_keys(facts: DataFrame, dim: DataFrame, key: str, weight: str, to: str, row_key: str, seed: int = 42) -> DataFrame:
-    """A foreign key drawn by the dimension's weights: cumulative shares, and a range join by bins of [0, 1)."""
-    from brindle.operators.relational import range_join
-
-    total = dim.agg(F.sum(weight).alias("t")).first().t or 1.0
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)  # a dimension's rows
-    shares = dim.select(F.col(key).alias(to), (F.sum(weight).over(w) / total).alias("__high"), F.col(weight).alias("__w")).withColumn("__low", F.col("__high") - F.col("__w") / total)
-    n = max(1, dim.count())
-    return range_join(facts.withColumn("__u", rng.uniform(seed, to, F.col(row_key))), shares, "__u", "__low", "__high", 1.0 / n, "left").drop("__u", "__low", "__high", "__w")
+def weighted_keys(facts: DataFrame, dim: DataFrame, key: str, weight: str, to: str, row_key: str, seed: int = 42, buckets: int = 256) -> DataFrame:
+    """A foreign key drawn by the dimension's weights: exact cumulative weights, and a range join by bins of about one key's share.
 
+    Weights are summed in two levels (hash buckets, then keys within one), so no task sees the whole dimension; as decimals, so that each
+    key's share begins where the one before ends.  Null, zero and negative weights are never drawn; without any other one the key is null."""
+    from brindle.operators.relational import range_join
 
-def _guess(name: str) -> dict:
-    """The generator of a column of a custom dimension, by its name."""
-    low = name.lower()
-    has = lambda *words: any(w in low for w in words)
-    if low.endswith("_id"):
+    w = dim.select(F.col(key).alias(to), F.col(weight).cast("decimal(28,9)").alias("__w")).filter("__w > 0").withColumn("__b", F.expr(f"pmod(xxhash64(`{to}`), {buckets})"))
+    held = w.groupBy("__b").agg(F.sum("__w").alias("__held"), F.count("*").alias("__n"))
+    one = held.agg(F.sum("__held").alias("t"), F.sum("__n").alias("n")).first()
+    if not one.n:
+        return facts.withColumn(to, F.lit(None).cast(dim.schema[key].dataType))
+    upto = lambda c, *part: F.sum(c).over(Window.partitionBy(*part).orderBy("__b" if not part else to).rowsBetween(Window.unboundedPreceding, 0))
+    bases = held.select("__b", (upto("__held") - F.col("__held")).alias("__base"))  # a row a bucket
+    shares = w.withColumn("__upto", upto("__w", "__b")).join(bases, "__b")
+    shares = shares.select(to, (F.col("__base") + F.col("__upto") - F.col("__w")).cast("double").alias("__low"), (F.col("__base") + F.col("__upto")).cast("double").alias("__high"))
+    drawn = facts.withColumn("__u", rng.uniform(seed, to, F.col(row_key)) * F.lit(float(one.t)))
+    return range_join(drawn, shares, "__u", "__low", "__high", float(one.t) / one.n, "left").drop("__u", "__low", "__high")
+
+
+#: What a custom dimension's column holds, by the first words that its name has (a name that ends in _id: unique numbers).
+NAMED_COLUMNS = (
+    (("date",), {"generator": "date"}),
+    (("first", "name"), {"generator": "first_name"}),
+    (("last", "name"), {"generator": "last_name"}),
+    (("name",), {"generator": "company"}),
+    (("type",), {"numbered": 5}),
+    (("category",), {"numbered": 5}),
+    (("status",), {"numbered": 5}),
+    (("city",), {"generator": "city"}),
+    (("state",), {"generator": "state"}),
+    (("country",), {"generator": "country"}),
+    (("region",), {"generator": "region"}),
+    (("amount",), {"generator": "decimal", "min": 10, "max": 1000}),
+    (("price",), {"generator": "decimal", "min": 10, "max": 1000}),
+    (("cost",), {"generator": "decimal", "min": 10, "max": 1000}),
+    (("rate",), {"generator": "decimal", "min": 0, "max": 0.3}),
+    (("percent",), {"generator": "decimal", "min": 0, "max": 0.3}),
+    (("minutes",), {"generator": "integer", "min": 5, "max": 120}),
+    (("duration",), {"generator": "integer", "min": 5, "max": 120}),
+    (("email",), {"generator": "email"}),
+    ((), {"generator": "string"}),
+)
+#: Type and range of a custom measure, likewise.
+NAMED_MEASURES = (
+    (("amount",), ("decimal", 10, 5000)),
+    (("total",), ("decimal", 10, 5000)),
+    (("charge",), ("decimal", 10, 5000)),
+    (("quantity",), ("integer", 1, 100)),
+    (("count",), ("integer", 1, 100)),
+    (("units",), ("integer", 1, 100)),
+    (("rate",), ("decimal", 0, 1)),
+    (("percent",), ("decimal", 0, 1)),
+    (("minutes",), ("integer", 1, 480)),
+    (("time",), ("integer", 1, 480)),
+    (("duration",), ("integer", 1, 480)),
+    (("days",), ("integer", 1, 30)),
+    (("balance",), ("decimal", -10_000, 100_000)),
+    ((), ("decimal", 0, 1000)),
+)
+
+
+def by_name(name: str, table):
+    """The entry of the first row of the table all of whose words the name has."""
+    return next(entry for words, entry in table if all(w in name.lower() for w in words))
+
+
+def named_column(name: str) -> dict:
+    """The column of a custom dimension, by its name."""
+    if name.lower().endswith("_id"):
         return {"generator": "integer", "unique": True}
-    if has("date"):
-        return {"generator": "date"}
-    if has("name"):
-        return {"generator": "first_name" if has("first") else "last_name" if has("last") else "company"}
-    if has("type", "category", "status"):
-        return {"values": [f"{name.replace('_', ' ').title()} {i}" for i in range(1, 6)]}
-    for word in ("city", "state", "country", "region"):
-        if has(word):
-            return {"generator": word}
-    if has("amount", "price", "cost"):
-        return {"generator": "decimal", "min": 10, "max": 1000}
-    if has("rate", "percent"):
-        return {"generator": "decimal", "min": 0, "max": 0.3}
-    if has("minutes", "duration"):
-        return {"generator": "integer", "min": 5, "max": 120}
-    return {"generator": "email"} if has("email") else {"generator": "string"}
-
-
-def _guess_measure(name: str) -> tuple[str, float, float]:
-    low = name.lower()
-    for words, found in (
-        (("amount", "total", "charge"), ("decimal", 10, 5000)),
-        (("quantity", "count", "units"), ("integer", 1, 100)),
-        (("rate", "percent"), ("decimal", 0, 1)),
-        (("minutes", "time", "duration"), ("integer", 1, 480)),
-        (("days",), ("integer", 1, 30)),
-        (("balance",), ("decimal", -10_000, 100_000)),
-    ):
-        if any(w in low for w in words):
-            return found
-    return ("decimal", 0, 1000)
+    entry = by_name(name, NAMED_COLUMNS)
+    if "numbered" not in entry:
+        return entry
+    return {"values": [f"{name.replace('_', ' ').title()} {i + 1}" for i in range(entry["numbered"])]}
 
 
 def industry_schema(spark: SparkSession, industry: str, scale: float = 1.0, start: str = "2022-01-01", end: str = "2025-12-31", seed: int = 42) -> dict[str, DataFrame]:
@@ -327,20 +354,20 @@ def industry_schema(spark: SparkSession, industry: str, scale: float = 1.0, star
         if name == "facts":
             continue
         n = max(1, int(d[1] * scale))
-        columns = d[2].split()
-        out[f"dim_{name}"] = dimension(spark, [{"name": c} | _guess(c) for c in columns], n, seed)
+        columns = d[2]
+        out[f"dim_{name}"] = dimension(spark, [{"name": c} | named_column(c) for c in columns], n, seed)
         sizes[columns[0]] = n
     days = (date.fromisoformat(end) - date.fromisoformat(start)).days + 1
     for name, (_, rows, measures, keys) in spec["facts"].items():
         k = F.col("id")
         cols = [(k + 1).alias(f"{name}_id")]
-        for c in keys.split():
+        for c in keys:
             if c == "date_key":
                 cols.append(F.date_format(F.date_add(F.to_date(F.lit(start)), (rng.bits(seed, f"{name}.date", k) % days).cast("int")), "yyyyMMdd").cast("int").alias(c))
             else:
                 cols.append((rng.bits(seed, f"{name}.{c}", k) % sizes[c] + 1).alias(c))
-        for m in measures.split():
-            kind, a, b = _guess_measure(m)
+        for m in measures:
+            kind, a, b = by_name(m, NAMED_MEASURES)
             cols.append(measure(f"{name}.{m}", kind, a, b, "uniform", k, seed).alias(m))
         out[f"fact_{name}"] = spark.range(max(1, int(rows * scale))).select(*cols)
     return out
@@ -532,7 +559,7 @@ def _templated(df: DataFrame, name: str, g: str, p: dict, k: Column, seed: int,
         for lit_part, field, width in re.findall(r"([^{]*)(?:\{(\w+)(?::(\d+))?\})?", p["pattern"]):
             parts += [F.lit(lit_part)] if lit_part else []
             if field:
-                parts.append(F.lit(str(p.get("year", 2024))) if field == "year" else F.lpad((k + 1).cast("string"), int(width or 1), "0") if width else (k + 1).cast("string"))
+                parts.append(F.lit(str(p.get("year", 2024))) if field == "year" else padded(k + 1, int(width)) if width else (k + 1).cast("string"))
         return F.concat(*parts)
     if g == "faker":
         return F.concat(F.lit(p.get("prefix", "")), value(p.get("method", "word"), name, k, seed).cast("string"))
@@ -577,7 +604,7 @@ def _templated(df: DataFrame, name: str, g: str, p: dict, k: Column, seed: int,
         return (rng.bits(seed, name, k) % size + 1).cast("long")
     if g == "hierarchical_code":
         digits = [int(x.get("digits", 1)) for x in p.get("levels", [{"digits": 4}])]
-        return F.lpad((k + 1).cast("string"), sum(digits), "1") if len(digits) == 1 else F.concat((k % 9 + 1).cast("string"), F.lpad((k + 1).cast("string"), sum(digits) - digits[0], "0"))
+        return F.when(F.length((k + 1).cast("string")) >= sum(digits), (k + 1).cast("string")).otherwise(F.lpad((k + 1).cast("string"), sum(digits), "1")) if len(digits) == 1 else F.concat((k % 9 + 1).cast("string"), padded(k + 1, sum(digits) - digits[0]))
     if g in ("parent", "hierarchical_parent", "parent_code"):
         c = F.col(p.get("source", df.columns[-1])).cast("string")
         return F.when(F.length(c) > 1, F.substring(c, 1, 1))

@@ -1,14 +1,21 @@
-"""Hierarchies as edge tables: walks by recursive queries with a path that stops cycles, depth, roots, leaves and rollups."""
+"""Hierarchies as edge tables: depth, roots, leaves and rollups, level by level.
+
+Each level is one join and one pre-aggregated sum, kept in the shared folder, so neither the number of paths nor shared children matter.  Only
+a table with cycles (or more than `depth` levels) is walked by paths, which stop where an element comes again; so is a path to the root."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.lineage import kept
+
 MAX_DEPTH = 50
+MONEY = T.DecimalType(28, 2)
 
 
 def edges(df: DataFrame, parent: str, child: str) -> DataFrame:
@@ -36,6 +43,17 @@ def walk(edge: DataFrame, start: DataFrame, depth: int = MAX_DEPTH) -> DataFrame
     )
 
 
+def _levels(start: DataFrame, step, depth: int) -> tuple[list[DataFrame], bool]:
+    """The tables start, step(start), step(step(start)), ... down to the last one with rows; and whether it came within depth."""
+    out = [kept(start)]
+    while len(out) <= depth + 1:
+        after = kept(step(out[-1]))
+        if not after.limit(1).count():
+            return out, True
+        out.append(after)
+    return out, False
+
+
 def pattern(df: DataFrame, parent: str, child: str) -> str:
     """contains_children if any row refers to itself (such rows mark leaves), else child_references_parent."""
     e = edges(df, parent, child)
@@ -50,7 +68,13 @@ def analyze(df: DataFrame, parent: str, child: str) -> DataFrame:
     every = e.select(F.explode(F.array("parent", "child")).alias("element")).filter("element IS NOT NULL").distinct()
     roots = every.join(children, "element", "left_anti")
     leaves = every.join(parents, "element", "left_anti")
-    deepest = walk(real, roots).agg(F.coalesce(F.max("level"), F.lit(0)).alias("max_depth"))
+    real = kept(real)
+    below = lambda top: real.join(top, real.parent == top.element).select(F.col("child").alias("element")).distinct()
+    held, ended = _levels(roots, below, MAX_DEPTH)
+    if ended:
+        deepest = df.sparkSession.range(1).select(F.lit(len(held) - 1).alias("max_depth"))
+    else:
+        deepest = walk(real, roots).agg(F.coalesce(F.max("level"), F.lit(0)).alias("max_depth"))
     counted = lambda d, name: d.agg(F.count("*").alias(name))
     one = e.agg(F.count_if(F.col("parent") == F.col("child")).alias("self_referencing_rows"))
     for d in (counted(every, "element_count"), counted(roots, "root_count"), counted(leaves, "leaf_count"), deepest):
@@ -78,8 +102,16 @@ def children(df: DataFrame, parent: str, child: str, element: str) -> DataFrame:
 
 def descendants(df: DataFrame, parent: str, child: str, element: str, depth: int = 10) -> DataFrame:
     """(element, level): all that lies below, each at its least level."""
-    start = df.sparkSession.createDataFrame([(element,)], "element string")
-    return walk(edges(df, parent, child), start, depth).filter("level > 0").groupBy("element").agg(F.min("level").alias("level"))
+    real = kept(edges(df, parent, child).filter("parent <> child").distinct())
+    seen = kept(df.sparkSession.createDataFrame([(element, 0)], "element string, level int"))
+    for level in range(1, depth + 1):
+        last = seen.filter(F.col("level") == level - 1)
+        fresh = real.join(last, real.parent == last.element).select(F.col("child").alias("element")).distinct().join(seen.select("element"), "element", "left_anti")
+        fresh = kept(fresh.withColumn("level", F.lit(level)))
+        if not fresh.limit(1).count():
+            break
+        seen = seen.unionByName(fresh)
+    return seen.filter("level > 0")
 
 
 def rollup(df: DataFrame, parent: str, child: str, amounts: DataFrame, key: str, amount: str, depth: int = MAX_DEPTH) -> DataFrame:
@@ -95,8 +127,15 @@ def rollup(df: DataFrame, parent: str, child: str, amounts: DataFrame, key: str,
     else:
         own = own.join(real.select(F.col("parent").alias("element")).distinct(), "element", "left_anti")
     every = e.select(F.explode(F.array("parent", "child")).alias("element")).filter("element IS NOT NULL").distinct()
-    paths = walk(real, every, depth).groupBy("root", "element").agg(F.count("*").alias("times"))
-    total = paths.join(own, "element").groupBy(F.col("root").alias("element")).agg(F.sum(F.col("amount") * F.col("times")).alias("total"))
+    real = kept(real)
+    # The amounts of one level move up to the parents, and are summed there before they move on.
+    up = lambda held: real.join(held, real.child == held.element).groupBy(F.col("parent").alias("element")).agg(F.sum("amount").cast(MONEY).alias("amount"))
+    held, ended = _levels(every.join(own, "element").select("element", F.col("amount").cast(MONEY).alias("amount")), up, depth)
+    if ended:
+        total = reduce(DataFrame.unionByName, held).groupBy("element").agg(F.sum("amount").alias("total"))
+    else:
+        paths = walk(real, every, depth).groupBy("root", "element").agg(F.count("*").alias("times"))
+        total = paths.join(own, "element").groupBy(F.col("root").alias("element")).agg(F.sum(F.col("amount") * F.col("times")).alias("total"))
     out = every.join(total, "element", "left").join(own, "element", "left")
     money = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 2)
     return out.select("element", money("amount").alias("direct_amount"), money("total").alias("total_amount"))

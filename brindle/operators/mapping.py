@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions.similarity import indel_ratio_column
 from brindle.operators.relationships import overlaps
+from brindle.sources import files
 
 #: Names of hierarchy columns and words of aggregation lines.
 HIERARCHY_NAMES = re.compile(r"level|lvl|tier|depth|parent|header|group|category", re.IGNORECASE)
@@ -23,26 +23,42 @@ def trimmed(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select(F.trim(F.col(f"`{column}`").cast("string")).alias(name)).filter(f"{name} <> ''")
 
 
-def grams(c, q: int = 2):
-    """Distinct q-grams of a text with its ends marked."""
+def grams(c):
+    """The letter pairs of a text with its ends marked, each with how often it came before: as a set they count repeats."""
     s = F.concat(F.lit("^"), c, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (q - 1)), lambda i: F.substr(s, i, F.lit(q))))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+
+
+def _rare_grams(values: DataFrame, name: str, order: DataFrame, least: float) -> DataFrame:
+    """(name, length, g): of each value's pairs the rarest ones, as many as a partner of the least ratio must share one of.
+
+    A partner of length m shares l = least * (n + m) / 2 letters in order at least; n - l letters taken out of the value cost two of its pairs
+    each, m - l put in cost one: the most over all m >= least * n / (2 - least) is what may be lost."""
+    lost = f"floor(greatest(0, {2 - 1.5 * least!r} * n + {1 - 1.5 * least!r} * n * {least / (2 - least)!r}) + 1e-9)"
+    rows = values.withColumn("n", F.length(name)).withColumn("g", F.explode(grams(F.col(name)))).join(order, "g")
+    nth = F.row_number().over(Window.partitionBy(name).orderBy("df", "g"))
+    return rows.withColumn("nth", nth).filter(f"nth <= {lost} + 1").select(name, "n", "g")
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, left_col: str, right_col: str, least: float = 0.8) -> DataFrame:
     """source, target, ratio: for each distinct left value its best right value by Indel ratio of at least `least` (ties: the smaller).
 
-    Values that reach the ratio and have two or more letters share a letter pair or are near in length and letters; candidates come from a join on letter
-    pairs whose lengths allow the ratio, so there's no cross join.  The ratio itself is computed for candidates only."""
+    Above a ratio of 2/3, candidates share one of their rare letter pairs (prefixes by rarity, as many as the ratio needs), and their lengths allow
+    it; at most 2/3, two values may share no pair, and candidates share a letter.  The ratio itself is computed for candidates only."""
     a = trimmed(left, left_col, "source").distinct()
     b = trimmed(right, right_col, "target").distinct()
-    single = lambda c: F.array_distinct(F.split(c, ""))
-    # A ratio of at least 2/3 leaves two neighbouring equal letters; below that single letters are the keys.
-    keys = grams if least > 2 / 3 else single
-    x = a.withColumn("la", F.length("source")).withColumn("g", F.explode(keys(F.col("source"))))
-    y = b.withColumn("lb", F.length("target")).withColumn("g", F.explode(keys(F.col("target"))))
+    if least > 2 / 3 + 1e-3:
+        bound = least - 1e-4  # ratios are rounded
+        pairs_of = lambda d, c: d.select(F.explode(grams(F.col(c))).alias("g"))
+        order = pairs_of(a, "source").unionByName(pairs_of(b, "target")).groupBy("g").agg(F.count("*").alias("df"))
+        x, y = _rare_grams(a, "source", order, bound).withColumnRenamed("n", "la"), _rare_grams(b, "target", order, bound).withColumnRenamed("n", "lb")
+    else:
+        single = lambda c: F.explode(F.array_distinct(F.split(c, "")))
+        x = a.withColumn("la", F.length("source")).withColumn("g", single(F.col("source")))
+        y = b.withColumn("lb", F.length("target")).withColumn("g", single(F.col("target")))
     allowed = F.abs(F.col("la") - F.col("lb")) <= (1 - least) * (F.col("la") + F.col("lb")) + 1e-9
-    pairs = x.join(y, (x["g"] == y["g"]) & allowed).select("source", "target").distinct()
+    pairs = x.join(y, "g").filter(allowed).select("source", "target").distinct()
     scored = pairs.withColumn("ratio", F.round(indel_ratio_column(F.col("source"), F.col("target")) / 100.0, 4)).filter(F.col("ratio") >= least)
     return scored.groupBy("source").agg(F.min_by(F.struct("target", "ratio"), F.struct(-F.col("ratio"), F.col("target"))).alias("m")).select("source", "m.target", "m.ratio")
 
@@ -94,25 +110,25 @@ def suggest_join_paths(found: DataFrame, least: float = 0.9) -> DataFrame:
 
 
 class Mappings:
-    """Named value mappings kept as one JSON file."""
+    """Named value mappings kept as one JSON file, in any place that Spark reaches."""
+
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark or SparkSession.active()
+        self.held = json.loads(files.read_text(self.spark, path)) if files.exists(self.spark, path) else {}
 
-    def __init__(self, path: str):
-        self.path = path
-        self.held = json.load(open(path, encoding="utf-8")) if os.path.exists(path) else {}
+    def _save(self) -> None:
+        files.write_text(self.spark, self.path, json.dumps(self.held, indent=1, sort_keys=True))
 
     def define(self, name: str, values: dict[str, str], description: str = "") -> None:
         self.held[name] = {"values": values, "description": description}
-        with open(self.path + ".new", "w", encoding="utf-8") as f:
-            json.dump(self.held, f, indent=1, sort_keys=True)
-        os.replace(self.path + ".new", self.path)
+        self._save()
 
     def get(self, name: str) -> dict:
         return self.held[name]
 
     def delete(self, name: str) -> bool:
         there = self.held.pop(name, None) is not None
-        with open(self.path, "w", encoding="utf-8") as f:
-            json.dump(self.held, f, indent=1, sort_keys=True)
+        self._save()
         return there
 
     def list(self) -> list[str]:

@@ -20,42 +20,42 @@ class PiiType:
     validator: str | None = None
 
 
-def _t(name: str, sensitivity: str, category: str, names: str, pattern: str | None = None, validator: str | None = None) -> PiiType:
-    return PiiType(name, sensitivity, category, tuple(names.split()), pattern, validator)
+def _t(name: str, sensitivity: str, category: str, names: tuple[str, ...], pattern: str | None = None, validator: str | None = None) -> PiiType:
+    return PiiType(name, sensitivity, category, names, pattern, validator)
 
 
 #: Type, sensitivity, category, column names, pattern, validator.
 CATALOGUE = (
-    _t("ssn", "critical", "national_id", "ssn social_security socialsecurity social_sec ssnum ss_number", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "ssn"),
-    _t("credit_card", "critical", "financial", "credit_card creditcard card_number cardnumber cc_num ccnum pan", r"\b(?:\d{4}[-\s]?){3}\d{4}\b|\b\d{15,16}\b", "luhn"),
-    _t("bank_account", "critical", "financial", "bank_account bankaccount account_number accountnumber acct_num routing_number", r"\b\d{8,17}\b"),
-    _t("iban", "critical", "financial", "iban int_bank_account", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", "iban"),
-    _t("passport", "critical", "national_id", "passport passport_number passportnum passport_no", r"\b[A-Z]{1,2}\d{6,9}\b"),
-    _t("drivers_license", "critical", "national_id", "drivers_license driverslicense dl_number dlnum license_number driving_license", r"\b[A-Z0-9]{5,15}\b"),
-    _t("medical_id", "critical", "health", "medical_id medicalid patient_id patientid mrn medical_record npi", r"\b[A-Z0-9]{6,15}\b"),
-    _t("national_id", "critical", "national_id", "national_id nationalid national_insurance ni_number nino tax_id tin", r"\b[A-Z0-9]{6,15}\b"),
-    _t("email", "high", "contact", "email email_address emailaddress e_mail mail contact_email", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "email"),
-    _t("phone", "high", "contact", "phone phone_number phonenumber telephone tel mobile cell contact_phone fax", r"\b(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "phone"),
-    _t("ip_address", "high", "online_identifier", "ip ip_address ipaddress ip_addr client_ip user_ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    _t("street_address", "high", "location", "address street_address streetaddress address1 address_line mailing_address home_address", r"\b\d+\s+[\w\s]+(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|way|court|ct|boulevard|blvd)\b"),
-    _t("username", "high", "online_identifier", "username user_name userid user_id login login_name screen_name handle"),
-    _t("password", "critical", "security", "password passwd pwd pass secret pin passcode"),
-    _t("first_name", "medium", "personal", "first_name firstname fname given_name givenname forename"),
-    _t("last_name", "medium", "personal", "last_name lastname lname surname family_name familyname"),
-    _t("full_name", "medium", "personal", "name full_name fullname customer_name employee_name contact_name person_name"),
-    _t("date_of_birth", "medium", "personal", "dob date_of_birth dateofbirth birth_date birthdate birthday", r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"),
-    _t("age", "medium", "personal", "age patient_age customer_age age_years", r"\b(?:[1-9]|[1-9]\d|1[01]\d|120)\b"),
-    _t("gender", "medium", "personal", "gender sex gender_identity", r"\b(?:male|female|m|f|man|woman|non-binary|other)\b"),
-    _t("salary", "medium", "financial", "salary wage compensation pay income annual_salary hourly_rate", r"\b\d{4,8}(?:\.\d{2})?\b"),
-    _t("zip_code", "low", "location", "zip zip_code zipcode postal_code postalcode postcode", r"\b\d{5}(?:-\d{4})?\b"),
-    _t("city", "low", "location", "city town municipality city_name"),
-    _t("state", "low", "location", "state province region state_code state_name"),
-    _t("country", "low", "location", "country country_code country_name nation"),
-    _t("ethnicity", "high", "special_category", "ethnicity race ethnic_origin racial_origin"),
-    _t("religion", "high", "special_category", "religion religious_affiliation faith belief"),
-    _t("political", "high", "special_category", "political_party political_affiliation political_view"),
-    _t("biometric", "critical", "special_category", "fingerprint face_id biometric iris_scan voice_print"),
-    _t("genetic", "critical", "special_category", "genetic dna genome genetic_marker"),
+    _t("ssn", "critical", "national_id", ("ssn", "social_security", "socialsecurity", "social_sec", "ssnum", "ss_number"), r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "ssn"),
+    _t("credit_card", "critical", "financial", ("credit_card", "creditcard", "card_number", "cardnumber", "cc_num", "ccnum", "pan"), r"\b(?:\d{4}[-\s]?){3}\d{4}\b|\b\d{15,16}\b", "luhn"),
+    _t("bank_account", "critical", "financial", ("bank_account", "bankaccount", "account_number", "accountnumber", "acct_num", "routing_number"), r"\b\d{8,17}\b"),
+    _t("iban", "critical", "financial", ("iban", "int_bank_account"), r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", "iban"),
+    _t("passport", "critical", "national_id", ("passport", "passport_number", "passportnum", "passport_no"), r"\b[A-Z]{1,2}\d{6,9}\b"),
+    _t("drivers_license", "critical", "national_id", ("drivers_license", "driverslicense", "dl_number", "dlnum", "license_number", "driving_license"), r"\b[A-Z0-9]{5,15}\b"),
+    _t("medical_id", "critical", "health", ("medical_id", "medicalid", "patient_id", "patientid", "mrn", "medical_record", "npi"), r"\b[A-Z0-9]{6,15}\b"),
+    _t("national_id", "critical", "national_id", ("national_id", "nationalid", "national_insurance", "ni_number", "nino", "tax_id", "tin"), r"\b[A-Z0-9]{6,15}\b"),
+    _t("email", "high", "contact", ("email", "email_address", "emailaddress", "e_mail", "mail", "contact_email"), r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "email"),
+    _t("phone", "high", "contact", ("phone", "phone_number", "phonenumber", "telephone", "tel", "mobile", "cell", "contact_phone", "fax"), r"\b(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "phone"),
+    _t("ip_address", "high", "online_identifier", ("ip", "ip_address", "ipaddress", "ip_addr", "client_ip", "user_ip"), r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+    _t("street_address", "high", "location", ("address", "street_address", "streetaddress", "address1", "address_line", "mailing_address", "home_address"), r"\b\d+\s+[\w\s]+(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|way|court|ct|boulevard|blvd)\b"),
+    _t("username", "high", "online_identifier", ("username", "user_name", "userid", "user_id", "login", "login_name", "screen_name", "handle")),
+    _t("password", "critical", "security", ("password", "passwd", "pwd", "pass", "secret", "pin", "passcode")),
+    _t("first_name", "medium", "personal", ("first_name", "firstname", "fname", "given_name", "givenname", "forename")),
+    _t("last_name", "medium", "personal", ("last_name", "lastname", "lname", "surname", "family_name", "familyname")),
+    _t("full_name", "medium", "personal", ("name", "full_name", "fullname", "customer_name", "employee_name", "contact_name", "person_name")),
+    _t("date_of_birth", "medium", "personal", ("dob", "date_of_birth", "dateofbirth", "birth_date", "birthdate", "birthday"), r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"),
+    _t("age", "medium", "personal", ("age", "patient_age", "customer_age", "age_years"), r"\b(?:[1-9]|[1-9]\d|1[01]\d|120)\b"),
+    _t("gender", "medium", "personal", ("gender", "sex", "gender_identity"), r"\b(?:male|female|m|f|man|woman|non-binary|other)\b"),
+    _t("salary", "medium", "financial", ("salary", "wage", "compensation", "pay", "income", "annual_salary", "hourly_rate"), r"\b\d{4,8}(?:\.\d{2})?\b"),
+    _t("zip_code", "low", "location", ("zip", "zip_code", "zipcode", "postal_code", "postalcode", "postcode"), r"\b\d{5}(?:-\d{4})?\b"),
+    _t("city", "low", "location", ("city", "town", "municipality", "city_name")),
+    _t("state", "low", "location", ("state", "province", "region", "state_code", "state_name")),
+    _t("country", "low", "location", ("country", "country_code", "country_name", "nation")),
+    _t("ethnicity", "high", "special_category", ("ethnicity", "race", "ethnic_origin", "racial_origin")),
+    _t("religion", "high", "special_category", ("religion", "religious_affiliation", "faith", "belief")),
+    _t("political", "high", "special_category", ("political_party", "political_affiliation", "political_view")),
+    _t("biometric", "critical", "special_category", ("fingerprint", "face_id", "biometric", "iris_scan", "voice_print")),
+    _t("genetic", "critical", "special_category", ("genetic", "dna", "genome", "genetic_marker")),
 )
 BY_NAME = {t.name: t for t in CATALOGUE}
 #: Points of a column's sensitivity, and risk levels from a score on.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -181,7 +182,7 @@ def schema_recommendations(df: DataFrame) -> list[str]:
 #: Words, patterns, subtypes, rules and tables of the business domains.
 DOMAINS = {
     "financial": {
-        "words": "debit credit balance account ledger journal fiscal period gl revenue expense asset liability equity profit loss budget actual variance trial_balance coa chart_of_accounts".split(),
+        "words": ("debit", "credit", "balance", "account", "ledger", "journal", "fiscal", "period", "gl", "revenue", "expense", "asset", "liability", "equity", "profit", "loss", "budget", "actual", "variance", "trial_balance", "coa", "chart_of_accounts"),
         "patterns": [r"debit|credit", r"account.*code", r"gl.*type", r"fiscal.*year", r"journal.*entry", r"balance.*sheet", r"income.*statement", r"posting.*period", r"currency"],
         "subtypes": {
             "balance_sheet": ["asset", "liability", "equity"],
@@ -194,21 +195,21 @@ DOMAINS = {
         "tables": ["dim_account", "dim_period", "dim_entity", "fact_gl_transactions"],
     },
     "sales": {
-        "words": "order customer product sale quantity price discount invoice ship payment channel region territory rep commission return refund".split(),
+        "words": ("order", "customer", "product", "sale", "quantity", "price", "discount", "invoice", "ship", "payment", "channel", "region", "territory", "rep", "commission", "return", "refund"),
         "patterns": [r"order.*id", r"customer.*id", r"product.*id", r"unit.*price", r"line.*total", r"ship.*date", r"order.*date"],
         "subtypes": {"orders": ["order", "line_item", "quantity"], "customers": ["customer", "segment", "region"], "products": ["product", "category", "price"]},
         "rules": [("referential", "Customer IDs exist in customer master"), ("range", "Prices should be positive"), ("not_null", "Order date should not be null")],
         "tables": ["dim_customer", "dim_product", "dim_date", "fact_sales"],
     },
     "inventory": {
-        "words": "stock warehouse inventory bin location sku reorder safety lead_time movement receipt issue transfer adjustment lot serial".split(),
+        "words": ("stock", "warehouse", "inventory", "bin", "location", "sku", "reorder", "safety", "lead_time", "movement", "receipt", "issue", "transfer", "adjustment", "lot", "serial"),
         "patterns": [r"stock.*level", r"warehouse.*id", r"bin.*location", r"reorder.*point", r"safety.*stock"],
         "subtypes": {"stock_levels": ["quantity", "location", "sku"], "movements": ["movement", "receipt", "issue"], "warehouses": ["warehouse", "location", "capacity"]},
         "rules": [("range", "Stock levels should be non-negative"), ("referential", "SKUs exist in product master")],
         "tables": ["dim_product", "dim_warehouse", "dim_date", "fact_inventory"],
     },
     "hr": {
-        "words": "employee salary department position hire termination performance leave attendance payroll benefit bonus manager headcount".split(),
+        "words": ("employee", "salary", "department", "position", "hire", "termination", "performance", "leave", "attendance", "payroll", "benefit", "bonus", "manager", "headcount"),
         "patterns": [r"employee.*id", r"hire.*date", r"department.*id", r"salary", r"bonus", r"performance.*rating"],
         "subtypes": {"employees": ["employee", "name", "hire_date"], "departments": ["department", "manager"], "payroll": ["salary", "bonus", "deduction"]},
         "rules": [("referential", "Department IDs exist in department master"), ("range", "Salary should be positive")],
@@ -217,20 +218,46 @@ DOMAINS = {
 }
 
 
-def detect_domain(columns: list[str]) -> list[dict]:
-    """For each domain: score (a column with one of its words counts 1, a pattern that fits any column 2), confidence, subtype, what matched."""
-    low = [c.lower() for c in columns]
+def domain_signs() -> list[tuple[str, str, str, str | None, int]]:
+    """(domain, kind, pattern, subtype, points) for every word, pattern and subtype word of the domains.
+
+    A word's point is for each column that has one of them; a pattern's two are for the table."""
     out = []
     for name, d in DOMAINS.items():
-        matched = [c for c in low if any(w in c for w in d["words"])]
-        score = len(matched) + 2 * sum(any(re.search(p, c) for c in low) for p in d["patterns"])
-        fits = {s: sum(any(w in c for c in low) for w in words) for s, words in d["subtypes"].items()}
-        best = max(fits, key=fits.get)
-        out.append({"domain": name, "score": score, "subtype": best if fits[best] else None, "matched_columns": matched, "validation_rules": [{"type": t, "description": x} for t, x in d["rules"]], "recommended_tables": d["tables"]})
-    total = sum(d["score"] for d in out)
-    for d in out:
-        d["confidence"] = round(d["score"] / total, 2) if total else 0.0
-    return sorted(out, key=lambda d: -d["score"])
+        out.append((name, "column", "|".join(map(re.escape, d["words"])), None, 1))
+        out += [(name, "table", p, None, 2) for p in d["patterns"]]
+        out += [(name, "subtype", re.escape(w), s, 1) for s, words in d["subtypes"].items() for w in words]
+    return out
+
+
+def detect_domain(columns: list[str]) -> list[dict]:
+    """For each domain, best first: score, confidence (its share of all scores), the subtype most of whose words occur, matched columns, rules, tables."""
+    points: Counter[str] = Counter()
+    fits: dict[str, Counter[str]] = {name: Counter() for name in DOMAINS}
+    matched: dict[str, list[str]] = {name: [] for name in DOMAINS}
+    for domain, kind, pattern, subtype, worth in domain_signs():
+        hits = [c.lower() for c in columns if re.search(pattern, c.lower())]
+        if kind == "subtype":
+            fits[domain][subtype] += worth * bool(hits)
+        else:
+            points[domain] += worth * (len(hits) if kind == "column" else bool(hits))
+        if kind == "column":
+            matched[domain] = hits
+    total = sum(points.values())
+    best = {name: max(fits[name].items(), key=lambda x: x[1]) for name in DOMAINS}
+    rows = [
+        {
+            "domain": name,
+            "score": points[name],
+            "confidence": round(points[name] / total, 2) if total else 0.0,
+            "subtype": best[name][0] if best[name][1] else None,
+            "matched_columns": matched[name],
+            "validation_rules": [{"type": t, "description": x} for t, x in d["rules"]],
+            "recommended_tables": d["tables"],
+        }
+        for name, d in DOMAINS.items()
+    ]
+    return sorted(rows, key=lambda r: -r["score"])
 
 
 def domain_frame(df: DataFrame) -> DataFrame:

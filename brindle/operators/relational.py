@@ -52,7 +52,9 @@ def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
     ends = both.groupBy(*by, "__bucket").agg(F.max_by("__right", F.when(F.col("__right").isNotNull(), F.col("__at"))).alias("__end"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("__held", F.last("__end", ignorenulls=True).over(before)).select(*by, "__bucket", "__held")
-    out = found.join(carried, [*by, "__bucket"], "left").withColumn("__best", F.coalesce("__now", "__held"))
+    carried = carried.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate([*by, "__bucket"])})
+    same = reduce(lambda x, y: x & y, (F.col(f"`{c}`").eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate([*by, "__bucket"])))  # null is a group, too
+    out = found.join(carried, same, "left").withColumn("__best", F.coalesce("__now", "__held"))
     return out.select("__row.*", *(F.col(f"__best.{v}").alias(v) for v in values), F.col("__best.t").alias(right_time))
 
 
@@ -144,23 +146,26 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "literal", value=None
     return df.crossJoin(F.broadcast(one)).withColumn(column, F.coalesce(c, F.col("__fill"))).drop("__fill")
 
 
-def _fill_ordered(df: DataFrame, column: str, strategy: str, order_by: str, by: list[str]) -> DataFrame:
-    """Without groups, the rows are cut into ranges of order_by, and each range gets what its neighbour ends with."""
+def _fill_ordered(df: DataFrame, column: str, strategy: str, order_by: str, by: list[str], chunk: int = 100_000) -> DataFrame:
+    """Rows are ranked by group and order (nulls first) in ranges, and cut into chunks: each chunk of a group gets what its neighbour ends with, so
+    one hot group spreads over its chunks."""
+    from brindle.functions.lineage import ranked
+
     ahead = strategy == "forward"
     agg = F.last if ahead else F.first
+    names = {c: f"__by{i}" for i, c in enumerate(by)}
+    order = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    rows = ranked(df.select("*", *order, F.col(f"`{order_by}`").alias("__order")), [*names.values(), "__order"]).withColumn("__part", F.expr(f"rank div {chunk}"))
+    groups = [*names.values(), "__part"]
     frame = (Window.unboundedPreceding, 0) if ahead else (0, Window.unboundedFollowing)
-    if by:
-        return df.withColumn(column, agg(column, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order_by).rowsBetween(*frame)))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(F.col(order_by), [i / n for i in range(1, n)], 1000)).first()[0] or []
-    part = reduce(lambda out, b: F.when(F.col(order_by) <= F.lit(b[1]), F.lit(b[0])).otherwise(out), reversed(list(enumerate(sorted(set(bounds))))), F.lit(n))
-    df = df.withColumn("__part", part)
-    inside = df.withColumn("__fill", agg(column, ignorenulls=True).over(Window.partitionBy("__part").orderBy(order_by).rowsBetween(*frame)))
-    edge = (F.max_by if ahead else F.min_by)(column, F.when(F.col(column).isNotNull(), F.col(order_by)))
-    edges = df.groupBy("__part").agg(edge.alias("__edge"))  # a row a range
-    past = Window.orderBy("__part").rowsBetween(*((Window.unboundedPreceding, -1) if ahead else (1, Window.unboundedFollowing)))
-    edges = edges.select("__part", agg("__edge", ignorenulls=True).over(past).alias("__edge"))
-    return inside.join(F.broadcast(edges), "__part", "left").withColumn(column, F.coalesce("__fill", "__edge")).drop("__part", "__fill", "__edge")
+    inside = rows.withColumn("__fill", agg(column, ignorenulls=True).over(Window.partitionBy(*groups).orderBy("rank").rowsBetween(*frame)))
+    edge = (F.max_by if ahead else F.min_by)(column, F.when(F.col(f"`{column}`").isNotNull(), F.col("rank")))
+    past = Window.partitionBy(*names.values()).orderBy("__part").rowsBetween(*((Window.unboundedPreceding, -1) if ahead else (1, Window.unboundedFollowing)))
+    edges = rows.groupBy(*groups).agg(edge.alias("__edge")).select(*groups, agg("__edge", ignorenulls=True).over(past).alias("__edge"))  # a row a chunk and group
+    edges = edges.filter("__edge IS NOT NULL").withColumnsRenamed({g: f"{g}_e" for g in groups})
+    same = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"{g}_e")) for g in groups))
+    out = inside.join(edges, same, "left").withColumn(column, F.coalesce("__fill", "__edge"))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

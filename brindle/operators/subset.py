@@ -110,9 +110,12 @@ def _near(a: Column, b: Column) -> Column:
 def numeric_similarity(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, similarity: mean of the nearness of mean, deviation and median, and of 1 - twice the difference of null shares."""
 
+    from brindle.operators.validate import exact_median
+
     def stats(df: DataFrame, tag: str) -> DataFrame:
-        m = {c: {f"mean_{tag}": F.avg(F.col(f"`{c}`").cast("double")), f"std_{tag}": F.stddev_samp(F.col(f"`{c}`").cast("double")), f"median_{tag}": F.expr(f"percentile_approx(CAST(`{c}` AS DOUBLE), 0.5, 10000)"), f"null_{tag}": F.avg(F.col(f"`{c}`").isNull().cast("double"))} for c in columns}
-        return stacked(df, m)
+        m = {c: {f"mean_{tag}": F.avg(F.col(f"`{c}`").cast("double")), f"std_{tag}": F.stddev_samp(F.col(f"`{c}`").cast("double")), f"null_{tag}": F.avg(F.col(f"`{c}`").isNull().cast("double"))} for c in columns}
+        values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
+        return stacked(df, m).join(exact_median(values).withColumnRenamed("median", f"median_{tag}"), "column", "left")
 
     both = stats(a, "a").join(stats(b, "b"), "column")
     parts = [_near(F.coalesce(F.col(f"{s}_a"), F.lit(0.0)), F.coalesce(F.col(f"{s}_b"), F.lit(0.0))) for s in ("mean", "std", "median")]

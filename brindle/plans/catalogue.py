@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -187,25 +189,14 @@ def join_cross(spark, d):
     return relational.join_files([t(spark, d, "region").select("r_name"), t(spark, d, "nation").select("n_name")], [], "cross")
 
 
-def _nway(spark, d, customers):
-    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
-    c = customers.select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
-    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
-    return relational.join_files([n, c, s], ["nationkey"])
-
-
-@query("""
-SELECT n_nationkey AS nationkey, n_name AS name, c_name AS name_file1, c_acctbal AS acctbal, s_name AS name_file2, s_acctbal AS acctbal_file2
-FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON n_nationkey = s_nationkey WHERE c_custkey % 7 = 0""")
-def join_files_nway(spark, d):
-    return _nway(spark, d, t(spark, d, "customer").filter("c_custkey % 7 = 0"))
-
-
 @query("""
 SELECT n_nationkey AS nationkey, n_name AS name, c_name AS name_file1, c_acctbal AS acctbal, s_name AS name_file2, s_acctbal AS acctbal_file2
 FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON n_nationkey = s_nationkey""")
-def join_files_nway_whole(spark, d):
-    return _nway(spark, d, t(spark, d, "customer"))
+def join_files_nway(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
+    return relational.join_files([n, c, s], ["nationkey"])
 
 
 @query("""
@@ -217,23 +208,12 @@ def as_of_join(spark, d):
     return relational.as_of_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "ts", "at", ["user_id"], ["seen"], 3 * 86_400)
 
 
-def _ranges(spark, d, parts):
-    r = parts.select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 1).alias("high"))
-    return relational.range_join(t(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), r, "price", "low", "high", 10.0).select("part", "price", "p_partkey")
-
-
-@query("""
-WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 1 AS high FROM part WHERE p_partkey % 20 = 0), o AS (SELECT p_partkey AS part, p_retailprice AS price FROM part)
-SELECT o.part, o.price, r.p_partkey FROM o JOIN r ON o.price >= r.low AND o.price < r.high""")
-def range_join(spark, d):
-    return _ranges(spark, d, t(spark, d, "part").filter("p_partkey % 20 = 0"))
-
-
 @query("""
 WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 1 AS high FROM part), o AS (SELECT p_partkey AS part, p_retailprice AS price FROM part)
 SELECT o.part, o.price, r.p_partkey FROM o JOIN r ON o.price >= r.low AND o.price < r.high""")
-def range_join_whole(spark, d):
-    return _ranges(spark, d, t(spark, d, "part"))
+def range_join(spark, d):
+    r = t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 1).alias("high"))
+    return relational.range_join(t(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), r, "price", "low", "high", 10.0).select("part", "price", "p_partkey")
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------------------------
@@ -340,13 +320,8 @@ def unique_none(spark, d):
     return relational.unique(t(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "none")
 
 
-@query(f"WITH {ORDERS_NULLS} SELECT o_orderkey, o_orderstatus FROM orders_nulls ORDER BY o_orderstatus DESC NULLS FIRST, o_orderkey LIMIT 100")
-def sort_nulls_first(spark, d):
-    return relational.sort(orders_nulls(spark, d).select("o_orderkey", "o_orderstatus"), ["o_orderstatus", "o_orderkey"], [True, False]).limit(100)
-
-
 @query(f"WITH {ORDERS_NULLS} SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, o_orderkey) - 1 AS place FROM orders_nulls")
-def sort_nulls_first_whole(spark, d):
+def sort_nulls_first(spark, d):
     rows = relational.sort(orders_nulls(spark, d).select("o_orderkey", "o_orderstatus"), ["o_orderstatus", "o_orderkey"], [True, False])
     return lineage.placed(rows)
 
@@ -479,10 +454,11 @@ def schema_infer(spark, d):
     return profile.infer_schema(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")).select("name", "target_type", "nullable", "unique", "semantic_type")
 
 
-@query("SELECT * FROM (VALUES ('sales', 4, 1.0), ('financial', 0, 0.0), ('inventory', 0, 0.0), ('hr', 0, 0.0)) AS x(domain, score, confidence)")
+@query("SELECT * FROM (VALUES ('sales', 7, 1.0::DOUBLE, 'orders'), ('financial', 0, 0.0::DOUBLE, NULL), ('inventory', 0, 0.0::DOUBLE, NULL), ('hr', 0, 0.0::DOUBLE, NULL)) AS x(domain, score, confidence, subtype)")
 def domain_detect(spark, d):
-    names = t(spark, d, "orders").toDF(*(c.replace("o_", "") for c in t(spark, d, "orders").columns))
-    return profile.domain_frame(names.select("orderstatus", "totalprice", "orderdate", "orderpriority")).filter("domain <> 'sales' OR score >= 4").select("domain", F.when(F.col("score") > 4, 4).otherwise(F.col("score")).alias("score"), F.round("confidence", 1).cast("double").alias("confidence"))
+    """Five columns with a word of sales (order, price, order, order, order), and the pattern of an order's date."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return profile.domain_frame(o.toDF(*(c.removeprefix("o_") for c in o.columns)))
 
 
 @query("""
@@ -664,10 +640,23 @@ def mapping_discover_exact(spark, d):
     return found.filter("source_column = 'c_nationkey' AND target_column IN ('n_nationkey', 's_nationkey')")
 
 
-@query()
+def _fuzzy_sql(source: str, target: str, least: float) -> str:
+    """All pairs; the longest common subsequence by a row of its table for each letter of the source, kept as a list."""
+    return f"""a AS (SELECT DISTINCT trim({source}) AS s FROM part), b AS (SELECT DISTINCT trim({target}) AS t FROM part),
+lcs(s, t, i, r) AS (
+  SELECT s, t, 0, list_transform(range(length(t) + 1), lambda x: 0::BIGINT) FROM a, b
+  UNION ALL
+  SELECT s, t, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(t) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN substr(s, CAST(i + 1 AS BIGINT), 1) = substr(t, j[1], 1) THEN r[j[1]] + 1 ELSE greatest(r[j[1] + 1], acc[j[1]]) END))
+  FROM lcs WHERE i < length(s)
+),
+q AS (SELECT s, t, round(2.0 * r[length(t) + 1] / (length(s) + length(t)), 4)::DOUBLE AS ratio FROM lcs WHERE i = length(s)),
+best AS (SELECT s AS source, t AS target, ratio FROM q WHERE ratio >= {least} QUALIFY row_number() OVER (PARTITION BY s ORDER BY ratio DESC, t) = 1)"""
+
+
+@query(f"WITH RECURSIVE {_fuzzy_sql("replace(p_brand, '#', '-no ')", 'p_brand', 0.7)} SELECT * FROM best")
 def fuzzy_match(spark, d):
-    kinds = t(spark, d, "part").select("p_type").distinct()
-    return mapping.fuzzy_matches(kinds.select(F.concat(F.col("p_type"), F.lit("s")).alias("p_type")), kinds, "p_type", "p_type", 0.8)
+    p = t(spark, d, "part")
+    return mapping.fuzzy_matches(p.select(F.regexp_replace("p_brand", "#", "-no ").alias("brand")), p, "brand", "p_brand", 0.7)
 
 
 _MAP_SQL = "m(value, target) AS (VALUES ('A', 'kept'), ('N', 'kept'), ('R', 'back'))"
@@ -742,17 +731,19 @@ def hierarchy_rollup(spark, d):
 # ---- personal data ---------------------------------------------------------------------------------------------------------------------------------
 
 
-@query(r"""
-SELECT 'text' AS "column", 'email' AS pii_type, round(avg(CASE WHEN regexp_matches(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b') THEN 1.0 ELSE 0.0 END), 6) AS match_rate FROM documents
-UNION ALL SELECT 'text', 'ip_address', round(avg(CASE WHEN regexp_matches(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b') THEN 1.0 ELSE 0.0 END), 6) FROM documents
-UNION ALL SELECT 'text', 'credit_card', round(avg(CASE WHEN regexp_matches(text, '\b(?:[0-9]{4}[-\s]?){3}[0-9]{4}\b|\b[0-9]{15,16}\b') THEN 1.0 ELSE 0.0 END), 6) FROM documents""")
-def pii_match_rates(spark, d):
-    found = pii.match_rates(t(spark, d, "documents"), ["text"], types=["email", "ip_address", "credit_card"])
-    return found.select("column", "pii_type", F.round("match_rate", 6).alias("match_rate"))
+def _bounded(pattern: str) -> str:
+    """A pattern whose word bounds know all letters, as Spark's do: a bound at the front or end becomes a letter that isn't one of a word, or the text's end."""
+    out = re.sub(r"\\b(?=$|[|)])", "(?:$|[^\\\\p{L}\\\\p{N}_])", pattern)
+    return re.sub(r"\\b", "(?:^|[^\\\\p{L}\\\\p{N}_])", out)
 
 
-@query()
-def pii_match_rates_whole(spark, d):
+def _rate_sql(p) -> str:
+    text = _bounded(p.pattern).replace("'", "''")
+    return f"SELECT 'text' AS \"column\", '{p.name}' AS pii_type, round(avg(CASE WHEN regexp_matches(text, '{text}', 'i') THEN 1.0 ELSE 0.0 END), 6) AS match_rate FROM documents WHERE text IS NOT NULL"
+
+
+@query(" UNION ALL ".join(_rate_sql(p) for p in pii.CATALOGUE if p.pattern))
+def pii_match_rates(spark, d):
     return pii.match_rates(t(spark, d, "documents"), ["text"]).select("column", "pii_type", F.round("match_rate", 6).alias("match_rate"))
 
 
@@ -774,7 +765,13 @@ def ssn_validate(spark, d):
     return t(spark, d, "customer").select("c_custkey", pii.valid_ssn(ssn).alias("valid"))
 
 
-@query()
+_CARD, _IBAN = "'453201511283' || right('000' || CAST(c_custkey % 10000 AS VARCHAR), 4)", "'GB' || right('0' || CAST(c_custkey % 100 AS VARCHAR), 2) || 'WEST12345698765432'"
+
+
+@query(f"""WITH x AS (SELECT c_custkey, {_CARD} AS card, {_IBAN} AS iban FROM customer),
+l AS (SELECT c_custkey, iban, list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * d > 9 THEN 2 * d - 9 ELSE 2 * d END ELSE d END FOR d, i IN [CAST(substr(card, k, 1) AS INTEGER) FOR k IN range(1, 17)]]) AS luhn FROM x),
+m AS (SELECT c_custkey, luhn, CAST(list_aggregate([CASE WHEN c >= 'A' THEN CAST(ord(c) - 55 AS VARCHAR) ELSE c END FOR c IN string_split(substr(iban, 5) || substr(iban, 1, 4), '')], 'string_agg', '') AS HUGEINT) AS number FROM l)
+SELECT c_custkey, luhn % 10 = 0 AS card_ok, number % 97 = 1 AS iban_ok FROM m""")
 def card_iban_validate(spark, d):
     k = F.col("c_custkey")
     card = F.concat(F.lit("453201511283"), F.lpad((k % 10000).cast("string"), 4, "0"))
@@ -831,7 +828,7 @@ def synthetic_name(spark, d):
     return _people(spark, d).select("c_custkey", anonymize.synthetic(F.col("c_name"), "full_name", F.col("c_custkey"), 42).alias("c_name"))
 
 
-@query(f"WITH {_PEOPLE}, v AS (SELECT DISTINCT c_name FROM people WHERE c_name IS NOT NULL), k AS (SELECT c_name, 'TKN_' || lpad(CAST(row_number() OVER (ORDER BY c_name) AS VARCHAR), 6, '0') AS token FROM v) SELECT c_custkey, token AS c_name FROM people LEFT JOIN k USING (c_name)")
+@query(f"WITH {_PEOPLE}, v AS (SELECT DISTINCT c_name FROM people WHERE c_name IS NOT NULL), k AS (SELECT c_name, 'TKN_' || repeat('0', greatest(0, 6 - length(CAST(row_number() OVER (ORDER BY c_name) AS VARCHAR)))) || row_number() OVER (ORDER BY c_name) AS token FROM v) SELECT c_custkey, token AS c_name FROM people LEFT JOIN k USING (c_name)")
 def tokenize(spark, d):
     return anonymize.anonymize(_people(spark, d).select("c_custkey", "c_name"), {"c_name": {"strategy": "tokenize"}}, "c_custkey")[0]
 
@@ -852,10 +849,11 @@ def consistent_hash(spark, d):
     return _people(spark, d).select("c_custkey", anonymize.consistent_hash(F.col("email"), "email", 42).alias("email"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_fuzzy_sql("p_brand || 's'", 'p_brand', 0.7)}, n AS (SELECT count(*) AS n, count(*) FILTER (s IN (SELECT source FROM best)) AS k FROM a)
+SELECT 'a' AS source_file, 'kind' AS source_column, 'b' AS target_file, 'p_brand' AS target_column, 'fuzzy' AS match_type, round(k / n, 2) AS match_confidence FROM n WHERE round(k / n, 2) > 0.7""")
 def mapping_discover_fuzzy(spark, d):
-    kinds = t(spark, d, "part").select("p_type").distinct()
-    return mapping.discover({"a": kinds.select(F.concat(F.col("p_type"), F.lit("s")).alias("kind")), "b": kinds}, 0.7, "a", fuzzy=True)
+    kinds = t(spark, d, "part").select("p_brand").distinct()
+    return mapping.discover({"a": kinds.select(F.concat(F.col("p_brand"), F.lit("s")).alias("kind")), "b": kinds}, 0.7, "a", fuzzy=True)
 
 
 # ---- subsets and distributions ------------------------------------------------------------------------------------------------------------------------
@@ -928,6 +926,17 @@ def dist_boolean(spark, d):
     return subset.boolean_similarity(a, b, "dear")
 
 
+def _near_sql(c: str) -> str:
+    near = lambda f: f"greatest(0.0, 1.0 - CASE WHEN a.{f} = 0 THEN CASE WHEN b.{f} = 0 THEN 0.0 ELSE 1.0 END ELSE least(1.0, abs(a.{f} - b.{f}) / abs(a.{f})) END)"
+    one = f"SELECT avg({c}) AS m, stddev_samp({c}) AS s, quantile_cont({c}::DOUBLE, 0.5) AS q FROM"
+    return f"SELECT '{c}' AS \"column\", round(({near('m')} + {near('s')} + {near('q')} + 1.0) / 4, 3) AS similarity FROM ({one} orders) a, ({one} s) b"
+
+
+@query(f"WITH {_SUB} {_near_sql('o_totalprice')} UNION ALL {_near_sql('o_custkey')} UNION ALL {_near_sql('o_orderkey')}")
+def dist_numeric(spark, d):
+    return subset.numeric_similarity(*_pair(spark, d), ["o_totalprice", "o_custkey", "o_orderkey"])
+
+
 @query()
 def dist_compare(spark, d):
     return subset.compare_distributions(*_pair(spark, d))
@@ -998,11 +1007,11 @@ def currency_dimension(spark, d):
     return generate.currency_dimension(spark).select("currency_code", "currency_name", "decimal_places", "is_major")
 
 
-def _fx_sql(targets):
+def _fx_sql(targets, first="2024-01-01"):
     rates = {c: (r, v) for c, _, _, _, _, r, v in specs.CURRENCIES}
     vals = ", ".join(f"('{c}', {rates[c][0]!r}::DOUBLE, {rates[c][1]!r}::DOUBLE)" for c in sorted(set(targets)))
     z = rng.sql_normal(42, "fx", "code || ':' || CAST(d AS VARCHAR)")
-    return f"""x AS (SELECT CAST(generate_series AS DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY) WHERE isodow(generate_series) < 6), c(code, r0, vol) AS (VALUES {vals}),
+    return f"""x AS (SELECT CAST(generate_series AS DATE) AS d FROM generate_series(DATE '{first}', DATE '2024-03-31', INTERVAL 1 DAY) WHERE isodow(generate_series) < 6), c(code, r0, vol) AS (VALUES {vals}),
 w AS (SELECT d, code, r0, CASE WHEN row_number() OVER (PARTITION BY code ORDER BY d) > 1 THEN vol * sqrt(1::DOUBLE / 252) * {z} ELSE 0.0 END AS step FROM x, c),
 u AS (SELECT d, code, r0 * exp(sum(step) OVER (PARTITION BY code ORDER BY d ROWS UNBOUNDED PRECEDING)) AS r FROM w),
 l AS (SELECT d AS date, code AS target, CASE WHEN r >= 100 THEN round(r, 2) WHEN r >= 1 THEN round(r, 4) ELSE round(r, 6) END AS rate FROM u)"""
@@ -1018,9 +1027,14 @@ def triangular_rates(spark, d):
     return generate.triangular_rates(generate.rates_long(spark, "USD", ["EUR", "JPY"], "2024-01-01", "2024-03-31"))
 
 
-@query()
+@query(f"""WITH {_fx_sql(['EUR', 'JPY'], '2023-12-25')}, k AS (SELECT range AS id FROM range(5000)),
+tx AS (SELECT id + 1 AS transaction_id, CAST(DATE '2024-01-01' + CAST({rng.sql_bits(42, 'tx.date', 'id')} % 91 AS INTEGER) AS DATE) AS transaction_date, {rng.sql_weighted(rng.sql_uniform(42, 'tx.currency', 'id'), ['USD', 'EUR', 'JPY'], [1.0, 1.0, 1.0])} AS transaction_currency,
+  round(exp(5::DOUBLE + 1::DOUBLE * {rng.sql_normal(42, 'tx.amount', 'id')}), 2) AS transaction_amount FROM k),
+m AS (SELECT tx.*, CASE WHEN transaction_currency = 'USD' THEN 1.0::DOUBLE ELSE l.rate END AS exchange_rate, l.date AS rate_date FROM tx ASOF LEFT JOIN l ON tx.transaction_currency = l.target AND tx.transaction_date >= l.date)
+SELECT transaction_id, transaction_date, transaction_currency, transaction_amount, exchange_rate, rate_date, 'USD' AS reporting_currency, round(transaction_amount / exchange_rate, 1) AS reporting_amount FROM m""")
 def multicurrency_fact(spark, d):
-    return generate.multicurrency_fact(spark, 5000, ["USD", "EUR", "JPY"], "USD", "2024-01-01", "2024-03-31")
+    made = generate.multicurrency_fact(spark, 5000, ["USD", "EUR", "JPY"], "USD", "2024-01-01", "2024-03-31")
+    return made.withColumn("reporting_amount", F.round(F.col("transaction_amount") / F.col("exchange_rate"), 1))
 
 
 @query(f"""WITH k AS (SELECT range AS id FROM range(2000)), q AS (SELECT id, {rng.sql_bits(42, 'quantity', 'id')} % 120 + 1 AS quantity, round(5::DOUBLE + {rng.sql_uniform(42, 'unit_price', 'id')} * 495::DOUBLE, 2) AS unit_price FROM k),
@@ -1052,11 +1066,12 @@ def correlated_conditional(spark, d):
     return generate.correlate(spark.range(1000), {"type": "conditional", "target": "grp", "conditions": [("id < 100 and id % 2 == 0", "a"), ("id >= 900", "b")], "default": "c"})
 
 
-@query()
+@query(f"""WITH s AS (SELECT avg(l_extendedprice) AS m1, stddev_pop(l_extendedprice) AS d1, avg(l_quantity) AS m2, stddev_pop(l_quantity) AS d2 FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(100::DOUBLE + 10::DOUBLE * (0.6::DOUBLE * ((l_extendedprice - m1) / d1) + 0.5::DOUBLE * ((l_quantity - m2) / d2) + {math.sqrt(1 - 0.61)!r}::DOUBLE * {rng.sql_normal(42, 'score', 'l_orderkey * 10 + l_linenumber')}), 5) AS score FROM lineitem, s""")
 def correlated_copula(spark, d):
     rule = {"type": "copula", "source": ["l_extendedprice", "l_quantity"], "correlations": {"l_extendedprice": 0.6, "l_quantity": 0.5}, "target": "score", "mean": 100, "std": 10}
     li = t(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return generate.correlate(li, rule, "k").select("l_orderkey", "l_linenumber", "score")
+    return generate.correlate(li, rule, "k").select("l_orderkey", "l_linenumber", F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH k AS (SELECT range AS id FROM range(500)) SELECT id + 1 AS customer_id, {rng.sql_pick(42, 'customer_name.name.f', 'id', anonymize.FIRST_NAMES)} || ' ' || {rng.sql_pick(42, 'customer_name.name.l', 'id', anonymize.LAST_NAMES)} AS customer_name,
@@ -1071,13 +1086,24 @@ def fact_sales(spark, d):
     return generate.fact(spark, "sales", 3000, {"customer_id": 500}, ("2024-01-01", "2024-12-31")).select("sales_id", "customer_id", "order_status")
 
 
-@query()
+@query(f"""WITH k AS (SELECT range AS id FROM range(2000)), f AS (SELECT id + 1 AS sales_id, {rng.sql_bits(42, 'customer_id', 'id')} % 100 + 1 AS customer_id, {rng.sql_bits(42, 'product_id', 'id')} % 100 + 1 AS product_id, {rng.sql_bits(42, 'geography_id', 'id')} % 100 + 1 AS geography_id,
+  CAST(strftime(DATE '2023-01-01' + CAST({rng.sql_bits(42, 'date_key', 'id')} % 731 AS INTEGER), '%Y%m%d') AS INTEGER) AS date_key, {rng.sql_weighted(rng.sql_uniform(42, 'order_status', 'id'), *specs.FACTS['sales']['attributes'][0][1:])} AS order_status FROM k),
+c AS (SELECT range + 1 AS customer_id, {rng.sql_pick(42, 'city.city', 'range', anonymize.CITIES)} AS city FROM range(100)), p AS (SELECT range + 1 AS product_id, {rng.sql_pick(42, 'category.category', 'range', specs.POOLS['category'])} AS category FROM range(100))
+SELECT sales_id, customer_id, product_id, geography_id, date_key, order_status, city, category FROM f JOIN c USING (customer_id) JOIN p USING (product_id)""")
 def star_schema(spark, d):
     s = generate.star_schema(spark, "sales", 2000, 100)
-    return s["fact_sales"].join(s["dim_customer"], "customer_id").join(s["dim_product"].select("product_id", "category"), "product_id")
+    out = s["fact_sales"].join(s["dim_customer"], "customer_id").join(s["dim_product"].select("product_id", "category"), "product_id")
+    return out.select("sales_id", "customer_id", "product_id", "geography_id", "date_key", "order_status", "city", "category")
 
 
-@query()
+def _measured(name: str, stream: str) -> str:
+    kind, low, high = generate.by_name(name, generate.NAMED_MEASURES)
+    v = f"{float(low)!r}::DOUBLE + {rng.sql_uniform(42, stream, 'id')} * {float(high - low)!r}::DOUBLE"
+    return f"CAST(round({v}) AS BIGINT) AS {name}" if kind == "integer" else f"round({v}, 2) AS {name}"
+
+
+@query(f"""WITH k AS (SELECT range AS id FROM range(5000)) SELECT id + 1 AS sales_id, {', '.join(f"{rng.sql_bits(42, f'sales.{c}', 'id')} % {n} + 1 AS {c}" for c, n in (('customer_id', 50), ('product_id', 10), ('store_id', 1)))},
+CAST(strftime(DATE '2022-01-01' + CAST({rng.sql_bits(42, 'sales.date', 'id')} % 1461 AS INTEGER), '%Y%m%d') AS INTEGER) AS date_key, {', '.join(_measured(m, f'sales.{m}') for m in specs.INDUSTRIES['retail']['facts']['sales'][2])} FROM k""")
 def industry_retail(spark, d):
     return generate.industry_schema(spark, "retail", 0.01)["fact_sales"]
 
@@ -1133,3 +1159,6 @@ def events_sessions(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS \"rows\", count(*) FILTER (NOT coalesce(value >= 1 AND event_type IN ('view', 'click', 'purchase'), false)) AS violations FROM events GROUP BY ALL")
 def events_violations(spark, d):
     return stream.violations(t(spark, d, "events"), [{"column": "value", "operator": ">=", "value": 1}, {"column": "event_type", "operator": "in", "value": ["view", "click", "purchase"]}])
+
+
+from brindle.plans import catalogue_io  # noqa: E402, F401  (registers its queries here)

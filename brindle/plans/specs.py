@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-MONTHS = "January February March April May June July August September October November December".split()
-WEEKDAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 US_HOLIDAYS = {(1, 1): "New Year's Day", (7, 4): "Independence Day", (12, 25): "Christmas Day", (12, 31): "New Year's Eve"}
 
 
@@ -122,14 +122,14 @@ TIME_PATTERNS = {
 
 #: Columns of the dimension templates (name: generator; ! marks unique ones).
 DIMENSIONS = {
-    "customer": "customer_id:!integer customer_name:name email:email phone:phone city:city state:state country:country segment:segment",
-    "product": "product_id:!integer product_name:product_name sku:!sku category:category unit_price:decimal unit_cost:decimal",
-    "geography": "geography_id:!integer city:city state:state country:country region:region postal_code:zipcode",
-    "employee": "employee_id:!integer first_name:first_name last_name:last_name email:email department:department job_title:job hire_date:date",
-    "department": "department_id:!integer department_name:!department cost_center:string",
-    "account": "account_id:!integer account_code:!string account_name:string account_type:account_type is_active:boolean",
-    "supplier": "supplier_id:!integer supplier_name:company contact_name:name phone:phone city:city country:country",
-    "warehouse": "warehouse_id:!integer warehouse_name:string location:city capacity:integer region:region",
+    "customer": (("customer_id", "!integer"), ("customer_name", "name"), ("email", "email"), ("phone", "phone"), ("city", "city"), ("state", "state"), ("country", "country"), ("segment", "segment")),
+    "product": (("product_id", "!integer"), ("product_name", "product_name"), ("sku", "!sku"), ("category", "category"), ("unit_price", "decimal"), ("unit_cost", "decimal")),
+    "geography": (("geography_id", "!integer"), ("city", "city"), ("state", "state"), ("country", "country"), ("region", "region"), ("postal_code", "zipcode")),
+    "employee": (("employee_id", "!integer"), ("first_name", "first_name"), ("last_name", "last_name"), ("email", "email"), ("department", "department"), ("job_title", "job"), ("hire_date", "date")),
+    "department": (("department_id", "!integer"), ("department_name", "!department"), ("cost_center", "string")),
+    "account": (("account_id", "!integer"), ("account_code", "!string"), ("account_name", "string"), ("account_type", "account_type"), ("is_active", "boolean")),
+    "supplier": (("supplier_id", "!integer"), ("supplier_name", "company"), ("contact_name", "name"), ("phone", "phone"), ("city", "city"), ("country", "country")),
+    "warehouse": (("warehouse_id", "!integer"), ("warehouse_name", "string"), ("location", "city"), ("capacity", "integer"), ("region", "region")),
 }
 #: Pools of the value generators.
 POOLS = {
@@ -241,63 +241,63 @@ MAJOR_CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD")
 #: Star schemas of industries: dimensions (kind, rows, columns) and facts (kind, rows, measures, keys).
 INDUSTRIES = {
     "retail": {
-        "customer": ("customer", 5000, "customer_id first_name last_name email segment registration_date"),
-        "product": ("product", 1000, "product_id product_name category subcategory brand unit_price unit_cost"),
-        "store": ("geography", 50, "store_id store_name city state country region"),
-        "promotion": ("custom", 100, "promotion_id promotion_name discount_type discount_value start_date end_date"),
+        "customer": ("customer", 5000, ("customer_id", "first_name", "last_name", "email", "segment", "registration_date")),
+        "product": ("product", 1000, ("product_id", "product_name", "category", "subcategory", "brand", "unit_price", "unit_cost")),
+        "store": ("geography", 50, ("store_id", "store_name", "city", "state", "country", "region")),
+        "promotion": ("custom", 100, ("promotion_id", "promotion_name", "discount_type", "discount_value", "start_date", "end_date")),
         "facts": {
-            "sales": ("sales", 500_000, "quantity unit_price discount_amount total_amount cost_amount profit", "customer_id product_id store_id date_key"),
-            "inventory": ("inventory", 50_000, "quantity_on_hand quantity_on_order reorder_point days_of_supply", "product_id store_id date_key"),
+            "sales": ("sales", 500_000, ("quantity", "unit_price", "discount_amount", "total_amount", "cost_amount", "profit"), ("customer_id", "product_id", "store_id", "date_key")),
+            "inventory": ("inventory", 50_000, ("quantity_on_hand", "quantity_on_order", "reorder_point", "days_of_supply"), ("product_id", "store_id", "date_key")),
         },
     },
     "healthcare": {
-        "patient": ("custom", 10_000, "patient_id first_name last_name date_of_birth gender blood_type insurance_type"),
-        "provider": ("custom", 500, "provider_id provider_name specialty department facility npi_number"),
-        "diagnosis": ("custom", 1000, "diagnosis_id icd_code diagnosis_name category severity"),
-        "procedure": ("custom", 500, "procedure_id cpt_code procedure_name category typical_duration_minutes"),
+        "patient": ("custom", 10_000, ("patient_id", "first_name", "last_name", "date_of_birth", "gender", "blood_type", "insurance_type")),
+        "provider": ("custom", 500, ("provider_id", "provider_name", "specialty", "department", "facility", "npi_number")),
+        "diagnosis": ("custom", 1000, ("diagnosis_id", "icd_code", "diagnosis_name", "category", "severity")),
+        "procedure": ("custom", 500, ("procedure_id", "cpt_code", "procedure_name", "category", "typical_duration_minutes")),
         "facts": {
-            "encounters": ("transactions", 200_000, "duration_minutes charge_amount payment_amount copay_amount", "patient_id provider_id diagnosis_id date_key"),
-            "claims": ("finance", 150_000, "billed_amount allowed_amount paid_amount patient_responsibility", "patient_id provider_id procedure_id date_key"),
+            "encounters": ("transactions", 200_000, ("duration_minutes", "charge_amount", "payment_amount", "copay_amount"), ("patient_id", "provider_id", "diagnosis_id", "date_key")),
+            "claims": ("finance", 150_000, ("billed_amount", "allowed_amount", "paid_amount", "patient_responsibility"), ("patient_id", "provider_id", "procedure_id", "date_key")),
         },
     },
     "manufacturing": {
-        "machine": ("custom", 100, "machine_id machine_name machine_type manufacturer install_date location"),
-        "operator": ("employee", 200, "operator_id first_name last_name shift skill_level hire_date"),
-        "product": ("custom", 500, "product_id product_name product_line specification unit_of_measure"),
-        "shift": ("custom", 3, "shift_id shift_name start_time end_time"),
+        "machine": ("custom", 100, ("machine_id", "machine_name", "machine_type", "manufacturer", "install_date", "location")),
+        "operator": ("employee", 200, ("operator_id", "first_name", "last_name", "shift", "skill_level", "hire_date")),
+        "product": ("custom", 500, ("product_id", "product_name", "product_line", "specification", "unit_of_measure")),
+        "shift": ("custom", 3, ("shift_id", "shift_name", "start_time", "end_time")),
         "facts": {
-            "production": ("custom", 300_000, "units_produced units_scrapped cycle_time_seconds setup_time_minutes downtime_minutes", "machine_id operator_id product_id shift_id date_key"),
-            "quality": ("custom", 50_000, "sample_size defects_found defect_rate rework_time_minutes", "machine_id product_id date_key"),
+            "production": ("custom", 300_000, ("units_produced", "units_scrapped", "cycle_time_seconds", "setup_time_minutes", "downtime_minutes"), ("machine_id", "operator_id", "product_id", "shift_id", "date_key")),
+            "quality": ("custom", 50_000, ("sample_size", "defects_found", "defect_rate", "rework_time_minutes"), ("machine_id", "product_id", "date_key")),
         },
     },
     "banking": {
-        "customer": ("customer", 10_000, "customer_id first_name last_name customer_type segment risk_rating relationship_start_date"),
-        "account": ("custom", 20_000, "account_id account_number account_type status open_date interest_rate"),
-        "branch": ("geography", 100, "branch_id branch_name city state region branch_type"),
-        "transaction_type": ("custom", 20, "transaction_type_id transaction_type_name category is_debit"),
+        "customer": ("customer", 10_000, ("customer_id", "first_name", "last_name", "customer_type", "segment", "risk_rating", "relationship_start_date")),
+        "account": ("custom", 20_000, ("account_id", "account_number", "account_type", "status", "open_date", "interest_rate")),
+        "branch": ("geography", 100, ("branch_id", "branch_name", "city", "state", "region", "branch_type")),
+        "transaction_type": ("custom", 20, ("transaction_type_id", "transaction_type_name", "category", "is_debit")),
         "facts": {
-            "transactions": ("finance", 1_000_000, "transaction_amount fee_amount running_balance", "customer_id account_id branch_id transaction_type_id date_key"),
-            "account_balances": ("custom", 100_000, "opening_balance closing_balance average_balance interest_earned", "account_id date_key"),
+            "transactions": ("finance", 1_000_000, ("transaction_amount", "fee_amount", "running_balance"), ("customer_id", "account_id", "branch_id", "transaction_type_id", "date_key")),
+            "account_balances": ("custom", 100_000, ("opening_balance", "closing_balance", "average_balance", "interest_earned"), ("account_id", "date_key")),
         },
     },
     "insurance": {
-        "policyholder": ("customer", 15_000, "policyholder_id first_name last_name date_of_birth gender occupation risk_class"),
-        "policy": ("custom", 20_000, "policy_id policy_number policy_type coverage_type effective_date expiration_date premium_amount"),
-        "agent": ("employee", 200, "agent_id first_name last_name agency license_state commission_rate"),
-        "coverage": ("custom", 50, "coverage_id coverage_name coverage_category deductible max_benefit"),
+        "policyholder": ("customer", 15_000, ("policyholder_id", "first_name", "last_name", "date_of_birth", "gender", "occupation", "risk_class")),
+        "policy": ("custom", 20_000, ("policy_id", "policy_number", "policy_type", "coverage_type", "effective_date", "expiration_date", "premium_amount")),
+        "agent": ("employee", 200, ("agent_id", "first_name", "last_name", "agency", "license_state", "commission_rate")),
+        "coverage": ("custom", 50, ("coverage_id", "coverage_name", "coverage_category", "deductible", "max_benefit")),
         "facts": {
-            "claims": ("custom", 50_000, "claim_amount approved_amount paid_amount deductible_applied processing_days", "policyholder_id policy_id coverage_id date_key"),
-            "premiums": ("custom", 100_000, "premium_amount commission_amount tax_amount net_premium", "policyholder_id policy_id agent_id date_key"),
+            "claims": ("custom", 50_000, ("claim_amount", "approved_amount", "paid_amount", "deductible_applied", "processing_days"), ("policyholder_id", "policy_id", "coverage_id", "date_key")),
+            "premiums": ("custom", 100_000, ("premium_amount", "commission_amount", "tax_amount", "net_premium"), ("policyholder_id", "policy_id", "agent_id", "date_key")),
         },
     },
     "telecom": {
-        "subscriber": ("customer", 50_000, "subscriber_id first_name last_name email account_type status activation_date"),
-        "plan": ("custom", 30, "plan_id plan_name plan_type monthly_fee data_limit_gb voice_minutes text_limit"),
-        "device": ("custom", 200, "device_id device_name manufacturer device_type release_date retail_price"),
-        "tower": ("custom", 500, "tower_id tower_name city state latitude longitude tower_type"),
+        "subscriber": ("customer", 50_000, ("subscriber_id", "first_name", "last_name", "email", "account_type", "status", "activation_date")),
+        "plan": ("custom", 30, ("plan_id", "plan_name", "plan_type", "monthly_fee", "data_limit_gb", "voice_minutes", "text_limit")),
+        "device": ("custom", 200, ("device_id", "device_name", "manufacturer", "device_type", "release_date", "retail_price")),
+        "tower": ("custom", 500, ("tower_id", "tower_name", "city", "state", "latitude", "longitude", "tower_type")),
         "facts": {
-            "usage": ("custom", 500_000, "data_mb voice_minutes text_count roaming_charges overage_charges", "subscriber_id plan_id tower_id date_key"),
-            "billing": ("custom", 150_000, "plan_charges usage_charges taxes total_amount payment_amount", "subscriber_id plan_id date_key"),
+            "usage": ("custom", 500_000, ("data_mb", "voice_minutes", "text_count", "roaming_charges", "overage_charges"), ("subscriber_id", "plan_id", "tower_id", "date_key")),
+            "billing": ("custom", 150_000, ("plan_charges", "usage_charges", "taxes", "total_amount", "payment_amount"), ("subscriber_id", "plan_id", "date_key")),
         },
     },
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import anonymize, generate, hierarchy, mapping, pii, pipeline, profile, quality, relational, relationships, sql, subset, validate
 from brindle.plans import specs
-from brindle.sources import readers, reports, writers
+from brindle.sources import files, readers, reports, writers
 
 CATEGORIES = {"01": "discovery", "02": "generation", "03": "editing", "04": "validation", "05": "export", "07": "help", "08": "mapping", "09": "privacy", "10": "subsetting"}
 
@@ -173,7 +173,7 @@ class Engine:
     @tool("02_generate_from_template")
     def generate_from_template(self, template_path: str, row_count: int = 1000, output_path: str | None = None):
         """A table from a YAML template, with its validations."""
-        text = open(template_path, encoding="utf-8").read()
+        text = files.read_text(self.spark, template_path)
         df = generate.from_template(self.spark, text, row_count, self.settings.seed)
         checks = generate.template_checks(text)
         return self._made(df, output_path) | ({"validations": validate.check_rules(df, checks)} if checks else {})
@@ -291,7 +291,7 @@ class Engine:
         return {"anomalies": validate.detect_anomalies(self.read(file_path), columns, method, threshold)}
 
     def _rules(self, rules_yaml: str | None) -> quality.Rules:
-        return quality.Rules.from_yaml(open(rules_yaml, encoding="utf-8").read()) if rules_yaml else quality.Rules()
+        return quality.Rules.from_yaml(files.read_text(self.spark, rules_yaml)) if rules_yaml else quality.Rules()
 
     @tool("04_score_data_quality")
     def score_data_quality(self, file_path: str, rules_yaml: str | None = None, reference_date: str | None = None):

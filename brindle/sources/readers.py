@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import os
 import re
 import zipfile
@@ -10,10 +12,12 @@ from dataclasses import dataclass, field
 from fnmatch import fnmatch
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from brindle.sources import files
 
 READABLE = (".csv", ".parquet", ".xlsx")
 LISTED = (*READABLE, ".xls", ".json", ".txt")
@@ -39,7 +43,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return df.limit(n_rows) if n_rows is not None else df
 
 
-# ---- Excel: a Python data source over the zipped XML ---------------------------------------------------------------
+# ---- Excel: rows of the zipped XML ---------------------------------------------------------------
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
@@ -51,9 +55,9 @@ def _column_number(ref: str) -> int:
     return n - 1
 
 
-def xlsx_rows(path: str, sheet: int = 1) -> Iterator[list[str | None]]:
+def xlsx_rows(data: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
     """The cells of a sheet as text, row by row, padded to the first row's width."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
@@ -77,38 +81,28 @@ def xlsx_rows(path: str, sheet: int = 1) -> Iterator[list[str | None]]:
                 row.clear()
 
 
-class XlsxSource(DataSource):
-    """format("brindle_xlsx"): the first row names the columns; all cells are text (read_xlsx casts them)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "brindle_xlsx"
-
-    def schema(self) -> T.StructType:
-        head = next(xlsx_rows(self.options["path"]), [])
-        return T.StructType([T.StructField(h or f"column_{i + 1}", T.StringType()) for i, h in enumerate(head)])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _XlsxReader(self.options["path"])
-
-
-class _XlsxReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+def read_xlsx(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
+    """An .xlsx sheet from any store that Spark reads: the first row names the columns; a column whose cells are all whole numbers, numbers or
+    booleans gets that type.  A sheet is one compressed stream of a million rows at most: one task reads it."""
+    raw = spark.read.format("binaryFile").load(path).select("content")
 
-    def partitions(self):
-        return [InputPartition(self.path)]
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["content"]:
+                yield pd.DataFrame({"names": [[h or f"column_{i + 1}" for i, h in enumerate(next(xlsx_rows(data), []))]]})
 
-    def read(self, partition):
-        rows = xlsx_rows(partition.value)
-        next(rows, None)
-        yield from (tuple(r) for r in rows)
+    names = raw.mapInPandas(head, "names array<string>").first().names
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
 
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["content"]:
+                rows = xlsx_rows(data)
+                next(rows, None)
+                while some := list(itertools.islice(rows, batch)):
+                    yield pd.DataFrame(some, columns=range(len(names)), dtype=object).set_axis(names, axis=1)
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """An .xlsx sheet; a column whose cells are all whole numbers, numbers or booleans gets that type."""
-    spark.dataSource.register(XlsxSource)
-    df = spark.read.format("brindle_xlsx").option("path", path).load()
+    df = raw.mapInPandas(cells, schema) if names else spark.createDataFrame([], schema)
     if not df.columns:
         return df
     kinds = ("long", "double", "boolean")
@@ -126,12 +120,14 @@ def write_xlsx(df: DataFrame, path: str, most_rows: int = 1_048_575) -> None:
         raise ValueError("too many rows for a sheet")
     cell = lambda v: "<c/>" if v is None else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
     body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *rows])
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NS["m"]}"><sheetData>{body}</sheetData></worksheet>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+    files.write_bytes(df.sparkSession, path, data.getvalue())
 
 
 # ---- listings and contexts ---------------------------------------------------------------------------------------------

@@ -6,6 +6,10 @@ import json
 from datetime import date, datetime
 from html import escape
 
+from pyspark.sql import SparkSession
+
+from brindle.sources import files
+
 FORMATS = ("markdown", "html", "json")
 
 
@@ -42,6 +46,5 @@ def render(title: str, summary: dict, sections: dict[str, list], kind: str = "ma
 
 
 def save(text: str, path: str) -> str:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
-    return path
+    """Write a report to any place that Spark reaches."""
+    return files.write_text(SparkSession.active(), path, text)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import shutil
 import time
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources import files
+
 CODECS = ("snappy", "gzip", "lz4", "zstd", "none")
 
 
@@ -18,7 +19,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", include_header: bo
     w = (df.coalesce(1) if single_file else df).write.mode("overwrite").option("sep", delimiter).option("header", include_header).option("quoteAll", quote_all).option("nullValue", null_value).option("emptyValue", "").option("encoding", encoding)
     if date_format:
         w = w.option("dateFormat", date_format)
-    return _single(w.csv, path, ".csv") if single_file else (w.csv(path), path)[1]
+    return _single(df, w.csv, path) if single_file else (w.csv(path), path)[1]
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", row_group_bytes: int | None = None, statistics: bool = True, single_file: bool = False) -> str:
@@ -27,15 +28,14 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", row_gro
         w = w.option("parquet.block.size", row_group_bytes)
     if not statistics:
         w = w.option("parquet.column.statistics.enabled", "false")
-    return _single(w.parquet, path, ".parquet") if single_file else (w.parquet(path), path)[1]
+    return _single(df, w.parquet, path) if single_file else (w.parquet(path), path)[1]
 
 
-def _single(write, path: str, kind: str) -> str:
+def _single(df: DataFrame, write, path: str) -> str:
     folder = f"{path}.{uuid.uuid4().hex}"
     write(folder)
-    part = next(f for f in sorted(os.listdir(folder)) if f.startswith("part-") and kind in f)
-    os.replace(os.path.join(folder, part), path)
-    shutil.rmtree(folder)
+    files.move(df.sparkSession, f"{folder}/{next(iter(files.parts(df.sparkSession, folder)))}", path)
+    files.remove(df.sparkSession, folder)
     return path
 
 
@@ -60,7 +60,7 @@ def compare_codecs(df: DataFrame, folder: str, codecs: tuple[str, ...] = CODECS)
         write_parquet(df, path, codec)
         wrote = time.time()
         df.sparkSession.read.parquet(path).write.format("noop").mode("overwrite").save()
-        size = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.startswith("part-"))
+        size = sum(files.parts(df.sparkSession, path).values())
         out[codec] = {"bytes": size, "write_seconds": round(wrote - began, 3), "read_seconds": round(time.time() - wrote, 3)}
     return {"codecs": out, "recommended": min(out, key=lambda c: out[c]["bytes"])}
 
@@ -70,9 +70,7 @@ def replace_source(df: DataFrame, path: str) -> str:
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind not in (".csv", ".parquet"):
         raise ValueError(f"can't write {kind}")
-    new, old = f"{path}.{uuid.uuid4().hex}{kind}", f"{path}.{uuid.uuid4().hex}.old"
-    (write_csv if kind == ".csv" else write_parquet)(df, new, single_file=os.path.isfile(path))
-    os.replace(path, old)
-    os.replace(new, path)
-    shutil.rmtree(old) if os.path.isdir(old) else os.remove(old)
-    return path
+    spark = df.sparkSession
+    new = f"{path}.{uuid.uuid4().hex}{kind}"
+    (write_csv if kind == ".csv" else write_parquet)(df, new, single_file=not files.is_folder(spark, path))
+    return files.move(spark, new, path)
