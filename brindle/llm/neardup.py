@@ -10,11 +10,13 @@ sequence is one.  Documents link if 100 * intersection >= 75 * union, checked on
    bucket with chance 5e-6.
 3. Each class is compared with the first class of each bucket it is in (a star, not all pairs): sizes must allow a link, and the
    collision-corrected Jaccard estimate of the two sketches must reach the threshold less LEEWAY (over five standard deviations).
-4. The full sets of each class and the close class that it meets most often are compared; links give components.
+4. The full sets of each class and the closest first class that it meets are compared; links give components.
 5. A bucket that still holds several components is open, unless it is one pair that isn't close.  All classes of open buckets are joined by
    their rare shingles: of two sets that link, the rarest ones (a quarter of the larger, a seventh of the smaller) share one.  Pairs of
-   different components that do are estimated as in 3 and their full sets compared: no link between classes of one bucket is lost, whatever
-   the bucket's first class is like, and a large group with one label costs nothing here.
+   different components that do are estimated as in 3 and their full sets compared.  Keys of more than POSTING rows give no pairs: the classes
+   that they connect, a crowd of sets just about the threshold, are finished in blocks of queries (what lies outside the crowd's largest
+   component) and members.  No link between classes of one bucket is lost, whatever its first class is like; what a passage has in common
+   is frequent and no key, and a large group with one label costs nothing here.
 6. Components by smallest label.
 
 Null and empty texts: no shingles, linked with nothing.  Very long texts: whole.  Repeated rows and equal texts: one class; an id with
@@ -39,6 +41,9 @@ WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
 LEEWAY = 0.2
+#: Rows of a key whose classes meet each other; queries and members of a crowd's block.
+POSTING = 32
+QUERIES, MEMBERS = 64, 128
 #: Fixed value: the constant of the chance that two unrelated registers agree.
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
 _U = np.uint64
@@ -138,18 +143,18 @@ def _classes(table: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow a link and whose sketches, less LEEWAY, do too."""
+    """Pairs (a, b) whose sizes allow a link and whose sketches, less LEEWAY, do too; and the estimate."""
 
     def likely(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for na, nb, ra, rb in batches:
             a, b = (np.frombuffer(b"".join(r), dtype=np.uint16).reshape(-1, REGISTERS) for r in (ra, rb))
-            yield pd.Series(estimate(a, b, na.to_numpy(), nb.to_numpy()) >= percent / 100 - LEEWAY)
+            yield pd.Series(estimate(a, b, na.to_numpy(), nb.to_numpy()), dtype="float64")
 
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")), x)
     sized = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = sized.filter(F.pandas_udf(likely, "boolean")("na", "nb", "ra", "rb"))
-    return cut(near.drop("na", "nb", "ra", "rb"), "close")
+    near = sized.withColumn("likeness", F.pandas_udf(likely, "double")("na", "nb", "ra", "rb")).filter(F.col("likeness") >= percent / 100 - LEEWAY)
+    return cut(near.select("a", "b", "likeness"), "close")
 
 
 def _full_sets(thin: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,11 +215,11 @@ def _open_classes(met: DataFrame, close: DataFrame, labels: DataFrame) -> DataFr
     return rows.join(mixed.select("key"), "key", "left_semi").select("cls").distinct()
 
 
-def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different labels that share one of the shingles that a link can't spare.
+def _rare_keys(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(s, cls, label, n, small, rows): the shingles of each class that a link can't spare, if classes of several labels have them.
 
     Shingles are ordered from rare to frequent.  If two sets link, the larger one's first n - ceil(t n) + 1 and the smaller one's first
-    n - ceil(2 t / (1 + t) n) + 1 shingles share one.  What a whole group has in common comes last and is no key."""
+    n - ceil(2 t / (1 + t) n) + 1 (small) shingles share one.  What a whole group has in common comes last and is no key."""
     rows = sets.select("cls", "n", F.explode("shingles").alias("s"))
     known = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     order = Window.partitionBy("cls").orderBy("df", "s")
@@ -222,13 +227,60 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(known, "s").withColumn("nth", F.row_number().over(order) + F.col("n") - F.count("*").over(Window.partitionBy("cls")))
     probe = f"n - CAST(ceil({percent} * n / 100D - 1e-9) AS BIGINT) + 1"
     least = f"n - CAST(ceil({2 * percent} * n / {100 + percent}D - 1e-9) AS BIGINT) + 1"
-    keys = cut(_labelled(rows.filter(f"nth <= {probe}"), labels).select("s", "cls", "label", "n", F.expr(f"nth <= {least}").alias("small")), "rare")
-    # Only shingles that several labels have can join what isn't linked yet.
-    mixed = keys.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("s")
-    keys = keys.join(mixed, "s", "left_semi")
+    keys = cut(_labelled(rows.filter(f"nth <= {probe}"), labels).select("s", "cls", "label", "n", F.expr(f"nth <= {least}").alias("small")), "keys")
+    mixed = keys.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).filter("x <> y").select("s", "rows")
+    return cut(keys.join(mixed, "s"), "keys")
+
+
+def _rare_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different labels that share a key of at most POSTING rows: no class meets more than that many for a key."""
+    keys = keys.filter(f"rows <= {POSTING}")
     small = keys.filter("small").select("s", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
     large = keys.select("s", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    return small.join(large, "s").filter(f"la <> lb AND (na < nb OR (na = nb AND a <> b)) AND 100 * na >= {percent} * nb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = small.join(large, "s").filter(f"la <> lb AND (na < nb OR (na = nb AND a <> b)) AND 100 * na >= {percent} * nb")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _crowd_links(keys: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a crowd: classes that keys of more than POSTING rows connect.
+
+    What lies outside a crowd's largest component is compared with all of it, exactly, in blocks of about QUERIES and MEMBERS that share no
+    task; a block counts intersections with posting lists, and gives one link for each query and component."""
+    hot = keys.filter(f"rows > {POSTING}")
+    star = hot.groupBy("s").agg(F.min("cls").alias("a"))
+    crowds = components(hot.join(star, "s").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    rows = _labelled(crowds.select(F.col("node").alias("cls"), F.col("label").alias("crowd")), labels)
+    parts = rows.groupBy("crowd", "label").agg(F.count("*").alias("held"))
+    sizes = parts.groupBy("crowd").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("size"))
+    sizes = sizes.filter("most < size").select(
+        "crowd", "main", F.expr(f"CAST(ceil((size - most) / {QUERIES}) AS INT)").alias("query_blocks"), F.expr(f"CAST(ceil(size / {MEMBERS}) AS INT)").alias("member_blocks")
+    )
+    rows = cut(rows.join(sizes, "crowd"), "crowd")
+    block = lambda of, salt: F.expr(f"CAST(pmod(xxhash64(cls, {salt}), {of}) AS INT)")
+    every = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
+    queries = rows.filter("label <> main").withColumn("q", block("query_blocks", 1)).withColumn("m", every("member_blocks")).withColumn("query", F.lit(True))
+    members = rows.withColumn("m", block("member_blocks", 2)).withColumn("q", every("query_blocks")).withColumn("query", F.lit(False))
+    dealt = queries.unionByName(members).join(sets, "cls").select("crowd", "q", "m", "query", "cls", "label", "shingles")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["query"]], pdf[~pdf["query"]]
+        held = list(b["shingles"])
+        sizes = np.array([len(x) for x in held], dtype=np.int64)
+        words, ids, labels = (np.concatenate(held) if held else np.zeros(0, np.int64)), b["cls"].to_numpy(), b["label"].to_numpy()
+        order = np.argsort(words, kind="stable")
+        owner, words = np.repeat(np.arange(len(held)), sizes)[order], words[order]
+        out: list[tuple] = []
+        for one, label, s in zip(a["cls"], a["label"], a["shingles"], strict=True):
+            low, high = np.searchsorted(words, s, "left"), np.searchsorted(words, s, "right")
+            n = high - low
+            spots = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[spots], minlength=len(held))
+            near = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (labels != label))
+            _, first = np.unique(labels[near], return_index=True)
+            out += [(one, ids[i]) for i in near[first]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return cut(dealt.groupBy("crowd", "q", "m").applyInPandas(link, "a long, b long"), "links")
 
 
 def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +291,7 @@ def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     bands = _bands(classes)
     buckets = bands.groupBy("key").agg(F.min(F.struct("rank", "cls"))["cls"].alias("a"), F.count("*").alias("size")).filter("size > 1")
     met = cut(bands.join(buckets, "key").filter("cls <> a").select("key", "size", "a", F.col("cls").alias("b")), "met")
-    close = _close(met.groupBy("a", "b").agg(F.count("*").alias("times")), classes, percent)
+    close = _close(met.select("a", "b").distinct(), classes, percent)
     # Full sets: of close classes, and of all in a bucket of several that its first doesn't settle.
     crowded = met.filter("size > 2").join(close.select("a", "b"), ["a", "b"], "left_anti").select("key").distinct()
     crowd = met.join(crowded, "key", "left_semi")
@@ -248,13 +300,15 @@ def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     sets = _full_sets(_thin(docs, id_col, text_col), wanted)
     release(docs.sparkSession)
 
-    best = close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    best = close.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b")
     links = _linked(best, sets, percent)
     labels = components(links)
     rest = cut(_open_classes(met, close, labels), "open")
-    more = _close(_rare_pairs(sets.join(rest, "cls", "left_semi"), labels, percent), classes, percent)
+    keys = _rare_keys(sets.join(rest, "cls", "left_semi"), labels, percent)
+    links = links.unionByName(_linked(_close(_rare_pairs(keys, percent), classes, percent).select("a", "b"), sets, percent))
+    labels = components(links)
     release(docs.sparkSession)
-    labels = components(links.unionByName(_linked(more, sets, percent)))
+    labels = components(links.unionByName(_crowd_links(keys, labels, sets, percent)))
     linked = labels.select(F.col("node").alias("cls"), "label")
     named = classes.drop("regs").join(linked, "cls", "left").filter("label IS NOT NULL OR held > 1").withColumn("label", F.coalesce("label", "cls"))
     return table, cut(named, "named")

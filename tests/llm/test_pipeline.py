@@ -2,8 +2,13 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from brindle.llm import common, decontam, mixing, neardup, toxicity
+from brindle.llm import common, decontam, mixing, neardup, sharding, toxicity
+
+from .helpers import AWKWARD, frame
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,3 +42,32 @@ def test_toxic_documents_go(spark):
     gone = {r.doc_id for r in toxicity.score_documents(docs, model).filter("predicted = 1").collect()}
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, d).collect()}
     assert gone and kept == {r.doc_id for r in docs.select("doc_id").collect()} - gone
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_stages_take_awkward_rows(spark, extra):
+    docs, n = frame(spark, extra=extra), 0
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, common.cut(stage(spark, docs, SMALL), name)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == before.columns
+        n = docs.count()
+        assert {r.doc_id for r in docs.select("doc_id").collect()} <= {r[0] for r in AWKWARD}
+    assert n > 0 and sorted(r.row_number for r in docs.collect()) == list(range(n))
+
+
+def test_stages_take_empty_tables(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        empty = common.cut(frame(spark, extra=False).limit(0), "empty")
+        assert common.cut(stage(spark, empty, SMALL), name).count() == 0
+
+
+def test_last_stage_keeps_training_order(spark):
+    docs = common.cut(spark.read.parquet(f"{SMALL}/documents.parquet"), "docs")
+    mixed = common.cut(mixing.repeat_taken(docs), "mixed")
+    out = corpus_pipeline.shard(spark, mixed, SMALL).orderBy("row_number").collect()
+    sized = common.cut(docs.withColumn("w", mixing.word_count()), "sized")
+    want = [r.doc_id for r in mixing.curriculum_mix(sized, "w", each_copy=True).orderBy("__mix_position", F.md5(F.col("doc_id").cast("string"))).collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert [r.doc_id for r in out] == want and all(r.text == texts[r.doc_id] for r in out)
+    assert all((r.shard, r.slot) == sharding.locate(r.row_number, len(out), 16) for r in out)
