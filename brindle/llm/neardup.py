@@ -308,7 +308,8 @@ def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     links = links.unionByName(_linked(_close(_rare_pairs(keys, percent), classes, percent).select("a", "b"), sets, percent))
     labels = components(links)
     release(docs.sparkSession)
-    labels = components(links.unionByName(_crowd_links(keys, labels, sets, percent)))
+    if keys.filter(f"rows > {POSTING}").limit(1).count():
+        labels = components(links.unionByName(_crowd_links(keys, labels, sets, percent)))
     linked = labels.select(F.col("node").alias("cls"), "label")
     named = classes.drop("regs").join(linked, "cls", "left").filter("label IS NOT NULL OR held > 1").withColumn("label", F.coalesce("label", "cls"))
     return table, cut(named, "named")
