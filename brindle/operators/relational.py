@@ -152,16 +152,16 @@ def _fill_ordered(df: DataFrame, column: str, strategy: str, order_by: str, by:
     from brindle.functions.lineage import ranked
 
     ahead = strategy == "forward"
-    agg = F.last if ahead else F.first
     names = {c: f"__by{i}" for i, c in enumerate(by)}
     order = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
     rows = ranked(df.select("*", *order, F.col(f"`{order_by}`").alias("__order")), [*names.values(), "__order"]).withColumn("__part", F.expr(f"rank div {chunk}"))
     groups = [*names.values(), "__part"]
-    frame = (Window.unboundedPreceding, 0) if ahead else (0, Window.unboundedFollowing)
-    inside = rows.withColumn("__fill", agg(column, ignorenulls=True).over(Window.partitionBy(*groups).orderBy("rank").rowsBetween(*frame)))
+    # Backward goes down the ranks: a frame that ends at its row is carried along, one that starts there is read again for each row.
+    way = F.col if ahead else F.desc
+    inside = rows.withColumn("__fill", F.last(column, ignorenulls=True).over(Window.partitionBy(*groups).orderBy(way("rank")).rowsBetween(Window.unboundedPreceding, 0)))
     edge = (F.max_by if ahead else F.min_by)(column, F.when(F.col(f"`{column}`").isNotNull(), F.col("rank")))
-    past = Window.partitionBy(*names.values()).orderBy("__part").rowsBetween(*((Window.unboundedPreceding, -1) if ahead else (1, Window.unboundedFollowing)))
-    edges = rows.groupBy(*groups).agg(edge.alias("__edge")).select(*groups, agg("__edge", ignorenulls=True).over(past).alias("__edge"))  # a row a chunk and group
+    past = Window.partitionBy(*names.values()).orderBy(way("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(*groups).agg(edge.alias("__edge")).select(*groups, F.last("__edge", ignorenulls=True).over(past).alias("__edge"))  # a row a chunk and group
     edges = edges.filter("__edge IS NOT NULL").withColumnsRenamed({g: f"{g}_e" for g in groups})
     same = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"{g}_e")) for g in groups))
     out = inside.join(edges, same, "left").withColumn(column, F.coalesce("__fill", "__edge"))

@@ -126,3 +126,11 @@ def test_weighted_keys_follow_weights(spark):
     assert set(got) == {1, 2, 5, 6} and sum(got.values()) == 20_000
     assert all(got[k] / 20_000 == pytest.approx(weights[k] / 5, abs=0.015) for k in got)
     assert generate.weighted_keys(spark.range(3), dim.filter("k = 3"), "k", "w", "to", "id").filter("to IS NULL").count() == 3
+
+
+def test_backward_fill_carries_values_along(spark):
+    """A frame from the row to the end is read again for each row: quadratic in a chunk."""
+    df = spark.range(40_000).selectExpr("id", "CASE WHEN id % 1000 = 999 THEN id END AS v")
+    filled = relational.fill_nulls(df, "v", "backward", order_by="id")
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().executedPlan().toString().lower()
+    assert filled.filter("v IS NULL OR v <> id div 1000 * 1000 + 999").count() == 0 and filled.count() == 40_000
