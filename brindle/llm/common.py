@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import brindle
 
@@ -31,6 +32,9 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; one longer document makes a step of its own.
 CHUNK_BYTES = 1_000_000
 
+#: Bits of a filter of hashes: so many for each hash, within these powers of two (pieces of 2 KB, 8 MB in all at most).
+BITS_EACH, LEAST_BITS, MOST_BITS, PIECE = 16, 20, 26, 1 << 14
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -64,6 +68,23 @@ def shared(spark: SparkSession, value):
     return get
 
 
+def marked_by(rows: DataFrame, key, wanted: DataFrame, wanted_key, count: int) -> DataFrame:
+    """rows with __maybe: false only where no row of wanted (about count rows) has the same long key.
+
+    A bitmap of the keys' places is broadcast, so that a join with wanted need not shuffle what can't meet it; it never grows
+    beyond 2^MOST_BITS bits, where more rows pass than need to.
+    """
+    bits = 1 << min(max((count * BITS_EACH).bit_length(), LEAST_BITS), MOST_BITS)
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    places = wanted.select(at(wanted_key).alias("__at")).withColumn("__piece", F.expr(f"__at div {PIECE}"))
+    # Dealt by piece first: a piece is made in one task, and places are shuffled, not bitmaps of each task.
+    pieces = places.repartition("__piece").groupBy("__piece").agg(F.expr(f"substring(bitmap_construct_agg(__at % {PIECE}), 1, {PIECE // 8})").alias("__bits"))
+    rows = rows.withColumn("__at", at(key)).withColumn("__piece", F.expr(f"__at div {PIECE}")).join(F.broadcast(pieces), "__piece", "left")
+    byte = f"CAST(conv(hex(substring(__bits, CAST(__at % {PIECE} div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    held = F.expr(f"coalesce(shiftright({byte}, CAST(__at % 8 AS INT)) & 1, 0) = 1")
+    return rows.withColumn("__maybe", held).drop("__at", "__piece", "__bits")
+
+
 def small_batches(spark: SparkSession, most: int = 16 * 2**20) -> None:
     """Hand texts to Python workers in batches of at most 16 MB (the session's setting, if that is smaller): a worker holds one or two."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

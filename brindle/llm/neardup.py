@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, cut, mix64, release, small_batches, tidy, utf8, word_hashes
+from brindle.llm.common import chunks, cut, marked_by, mix64, release, small_batches, tidy, utf8, word_hashes
 from brindle.llm.graph import components
 
 WORDS = 5
@@ -126,6 +126,10 @@ def _text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _row_hash(id_col: str, tid_col: str):
+    return F.xxhash64(id_col, tid_col)
+
+
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tid, n (size of the set), hi and lo (a 128-bit hash of the set), regs; kept in the shared folder."""
     thin = _thin(docs, id_col, text_col)
@@ -168,10 +172,13 @@ def _full_sets(thin: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"cls": pdf["cls"].iloc[a:b].to_numpy(), "n": [len(s) for s in some], "shingles": [s.view(np.int64) for s in some]})
 
     names = wanted.select("cls", F.col("id").alias("w_id"), F.col("tid").alias("w_tid"))
+    count = wanted.count()
+    # Only texts that may be wanted are shuffled.
+    thin = marked_by(thin, _row_hash("id", "tid"), names, _row_hash("w_id", "w_tid"), count).filter("__maybe")
     made = thin.join(names, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tid") == F.col("w_tid"))).select("cls", "text")
     made = cut(made.mapInPandas(tidy(sets), "cls long, n long, shingles array<bigint>"), "sets")
     # A class stands in several rows only where one id has one text several times.
-    return made if made.count() == wanted.count() else cut(made.dropDuplicates(["cls"]), "sets")
+    return made if made.count() == count else cut(made.dropDuplicates(["cls"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -343,8 +350,10 @@ def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     odd = cut(rows.groupBy("id", "tid").agg(F.first("stay").alias("stay"), F.count("*").alias("rows")).filter("rows > 1 OR NOT stay"), "gone")
     odd = odd.select(F.col("id").alias("__near_id"), F.col("tid").alias("__near_tid"), F.col("stay").alias("__near_stay"))
     marked = docs.withColumn("__near_hash", _text_hash(text_col))
-    marked = marked.join(odd, F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.col("__near_hash") == F.col("__near_tid")), "left")
-    once = marked.filter("__near_tid IS NULL")
+    marked = marked_by(marked, _row_hash(id_col, "__near_hash"), odd, _row_hash("__near_id", "__near_tid"), odd.count())
+    apart = marked.filter("NOT __maybe")  # these are no odd rows, and their texts aren't shuffled
+    marked = marked.filter("__maybe").join(odd, F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.col("__near_hash") == F.col("__near_tid")), "left")
+    once = marked.filter("__near_tid IS NULL").unionByName(apart, allowMissingColumns=True)
     again = odd.filter("__near_stay").limit(1).count()
     if again:  # repeated rows of a document that stays: one of them
         once = once.unionByName(marked.filter("__near_stay").dropDuplicates(["__near_id", "__near_tid"]))

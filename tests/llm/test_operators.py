@@ -749,3 +749,33 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score_documents(df.limit(0), m).count() == 0 and not toxicity.fit(df.limit(0), labels).trained
     assert toxicity.keep_clean(df, toxicity.fit(df, labels.limit(0))).columns == df.columns
     assert toxicity.keep_clean(df, toxicity.fit(df, labels.limit(0))).count() == len(AWKWARD)
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    g = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, g.new_array(g.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_texts_in_question_are_shuffled(spark):
+    """Of 300 long texts, ten have a near copy: the others' texts stay where they are, also if ids are too many to broadcast."""
+    r = random.Random(11)
+    texts = [" ".join(f"{r.getrandbits(48):x}" for _ in range(1000)) for _ in range(300)]
+    texts += [t + " tail" for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    before, old = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = sorted(x.doc_id for x in neardup.keep_one(df).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert kept == list(range(300))
+    assert _shuffled(spark) - before < sum(map(len, texts)) / 2
+
+
+def test_marks_miss_no_row(spark):
+    rows, wanted = spark.range(50_000).selectExpr("id AS k"), spark.range(0, 50_000, 25).selectExpr("id AS w")
+    got = {tuple(x) for x in common.marked_by(rows, "k", wanted, "w", 2000).collect()}
+    assert len(got) == 50_000 and {(k, True) for k in range(0, 50_000, 25)} <= got and sum(m for _, m in got) < 4000
+    assert not common.marked_by(rows, "k", wanted.limit(0), "w", 0).filter("__maybe").count()
