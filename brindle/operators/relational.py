@@ -21,10 +21,19 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     return out if how in ("left_semi", "left_anti", "semi", "anti") else out.drop(F.col(f"r.`{right_on}`"))
 
 
-def join_files(frames: Sequence[DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Left-deep join on common keys; other columns that clash get the suffix _file1, _file2, ..."""
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all shuffle partitions: for a join that makes many rows of each, in the few tasks of a small table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+
+
+def join_files(frames: Sequence[DataFrame], keys: Sequence[str], how: str = "inner", repeats: bool = False) -> DataFrame:
+    """Left-deep join on common keys; other columns that clash get the suffix _file1, _file2, ...
+
+    repeats says that keys stand in many rows of several files: rows are spread before each join after the first."""
     out = frames[0]
     for i, df in enumerate(frames[1:], 1):
+        if repeats and i > 1:
+            out = _spread(out)
         clash = {c: f"{c}_file{i}" for c in df.columns if c in out.columns and (how == "cross" or c not in keys)}
         df = df.withColumnsRenamed(clash)
         out = out.crossJoin(df) if how == "cross" else out.join(df, list(keys), how)

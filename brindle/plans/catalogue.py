@@ -196,7 +196,7 @@ def join_files_nway(spark, d):
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
     c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
     s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
-    return relational.join_files([n, c, s], ["nationkey"])
+    return relational.join_files([n, c, s], ["nationkey"], repeats=True)
 
 
 @query("""
