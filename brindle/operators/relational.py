@@ -67,8 +67,18 @@ def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
     return out.select("__row.*", *(F.col(f"__best.{v}").alias(v) for v in values), F.col("__best.t").alias(right_time))
 
 
-def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
-    """low <= value < high as an equi-join on bins of a width: each range is listed in the bins it touches, each value in one."""
+def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, how: str = "inner", repeats: bool = False) -> DataFrame:
+    """low <= value < high as an equi-join on bins of a width: each range is listed in the bins it touches, each value in one.
+
+    repeats says that many rows share values and ranges (inner and left joins): distinct ones meet in the bins, once each, and the rows of
+    both sides are found by them, so that no pair of rows is made that doesn't match."""
+    if repeats:
+        if how not in ("inner", "left"):
+            raise ValueError(f"repeats goes with inner and left joins, not {how!r}")
+        v = left.select(F.col(value).alias("__value")).distinct()
+        pairs = range_join(v, right.select(F.col(low).alias("__low"), F.col(high).alias("__high")).distinct(), "__value", "__low", "__high", width)
+        met = _spread(left.join(pairs, F.col(value) == F.col("__value"), how))
+        return met.join(right, (met["__low"] == right[low]) & (met["__high"] == right[high]), how).drop("__value", "__low", "__high")
     l = left.withColumn("__bin", F.floor(F.col(value) / width))  # noqa: E741
     r = right.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     on = (l["__bin"] == r["__bin"]) & (l[value] >= r[low]) & (l[value] < r[high])

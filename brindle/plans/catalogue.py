@@ -213,7 +213,7 @@ WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 1 AS high FRO
 SELECT o.part, o.price, r.p_partkey FROM o JOIN r ON o.price >= r.low AND o.price < r.high""")
 def range_join(spark, d):
     r = t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 1).alias("high"))
-    return relational.range_join(t(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), r, "price", "low", "high", 10.0).select("part", "price", "p_partkey")
+    return relational.range_join(t(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), r, "price", "low", "high", 10.0, repeats=True).select("part", "price", "p_partkey")
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------------------------

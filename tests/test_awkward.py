@@ -134,3 +134,26 @@ def test_backward_fill_carries_values_along(spark):
     filled = relational.fill_nulls(df, "v", "backward", order_by="id")
     assert "unboundedfollowing" not in filled._jdf.queryExecution().executedPlan().toString().lower()
     assert filled.filter("v IS NULL OR v <> id div 1000 * 1000 + 999").count() == 0 and filled.count() == 40_000
+
+
+def test_joins_with_many_rows_a_key_are_spread(spark):
+    """The rows of a small table are few tasks' work, unless they are dealt before the join that multiplies them."""
+    from brindle.plans import catalogue
+
+    for name in ("join_files_nway", "range_join"):
+        assert "RoundRobinPartitioning" in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_range_join_of_repeated_values(spark):
+    """Distinct values and ranges meet once: the same rows as from all, repeated ones, nulls and rows without a range included."""
+    r = random.Random(5)
+    values = [r.choice([None, -0.0, 0.0, 1.5, 3.0, 7.25, 90.0]) for _ in range(120)]
+    ranges = [r.choice([(0.0, 1.0), (1.5, 3.0), (-5.0, 8.0), (3.0, 3.0), (None, 4.0), (2.0, None)]) for _ in range(60)]
+    left = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    right = spark.createDataFrame([(i, *x) for i, x in enumerate(ranges)], "j int, low double, high double")
+    pairs = [(i, j) for i, x in enumerate(values) for j, (a, b) in enumerate(ranges) if None not in (x, a, b) and a <= x < b]
+    alone = [(i, None) for i in range(120) if i not in {i for i, _ in pairs}]
+    for how, want in (("inner", pairs), ("left", pairs + alone)):
+        got = relational.range_join(left, right, "x", "low", "high", 2.0, how, repeats=True)
+        assert got.columns == ["i", "x", "j", "low", "high"] and Counter((g.i, g.j) for g in got.collect()) == Counter(want), how
+    assert relational.range_join(left, right.limit(0), "x", "low", "high", 2.0, repeats=True).count() == 0
