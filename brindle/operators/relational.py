@@ -67,20 +67,50 @@ def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
     return out.select("__row.*", *(F.col(f"__best.{v}").alias(v) for v in values), F.col("__best.t").alias(right_time))
 
 
+def _blocks(df: DataFrame, keys: Sequence[str], bins: Column, side: str, size: int = 4096, piece: int = 128) -> DataFrame:
+    """A row for each block of df: up to `size` rows of one bin that are neighbours by their keys, in pieces of up to `piece` rows, with the least and
+    greatest keys of each.  Rows without a bin are left out.
+
+    Blocks are cut from sorted ranges in which rows of equal keys are told apart by a hash, so that a hot key is many blocks."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("rows"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t)).alias("mix"), bins.alias("bin"))
+    names = [f"k{i}" for i in range(len(keys))]
+    order = ["bin", *names, "mix"]
+    cut = rows.filter("bin IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())  # a partition begins at a multiple of 2^33
+    cut = cut.select("*", F.expr(f"at div {size}").alias("block"), F.expr(f"at div {piece}").alias("piece")).repartition("bin", "block")
+    ends = {f"{f.__name__}{n}": f(n) for n in names for f in (F.min, F.max)}
+    pieces = cut.groupBy("bin", "block", "piece").agg(F.collect_list("rows").alias("rows"), *(c.alias(n) for n, c in ends.items()))
+    ends = {n: getattr(F, n[:3])(n) for n in ends}
+    return pieces.groupBy("bin", "block").agg(F.collect_list(F.struct(*ends, "rows")).alias(side), *(c.alias(f"{side}{n}") for n, c in ends.items())).drop("block").withColumnRenamed("bin", f"{side}bin")
+
+
+def _pairs_in_blocks(left: DataFrame, right: DataFrame, value: str, low: str, high: str, at: Column, touched: Column) -> DataFrame:
+    """The inner range join of rows of which many share values and ranges: blocks meet in the bins and are spread, and rows meet in them."""
+    met = _blocks(left, [value], at, "l").join(_blocks(right, [low, high], touched, "r").hint("merge"), F.expr("lbin = rbin AND lmaxk0 >= rmink0 AND lmink0 < rmaxk1")).select("l", "r")
+    # Lambdas keep this step out of generated code, which holds all that comes of a row in memory: here a pair of pieces, not one of blocks.
+    two = F.transform("l", lambda l: F.transform(F.filter("r", lambda r: (l["maxk0"] >= r["mink0"]) & (l["mink0"] < r["maxk1"])), lambda r: F.struct(l["rows"].alias("l"), r["rows"].alias("r"))))
+    pieces = _spread(met).select(F.explode(F.flatten(two)).alias("two"))
+    pairs = pieces.select(F.explode("two.l").alias("l"), "two.r").select("l", F.explode("r").alias("r"))
+    return pairs.filter((F.col("l")[value] >= F.col("r")[low]) & (F.col("l")[value] < F.col("r")[high])).select("l.*", "r.*")
+
+
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, how: str = "inner", repeats: bool = False) -> DataFrame:
     """low <= value < high as an equi-join on bins of a width: each range is listed in the bins it touches, each value in one.
 
-    repeats says that many rows share values and ranges (inner and left joins): distinct ones meet in the bins, once each, and the rows of
-    both sides are found by them, so that no pair of rows is made that doesn't match."""
+    repeats says that many rows share values and ranges (inner and left joins): blocks of neighbouring rows are shuffled and meet in the bins,
+    once each, so that what is shuffled is small beside the pairs, and no task gets all pairs of a hot value."""
+    at = F.floor(F.col(value) / width)
+    touched = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
     if repeats:
         if how not in ("inner", "left"):
             raise ValueError(f"repeats goes with inner and left joins, not {how!r}")
+        pairs = _pairs_in_blocks(left, right, value, low, high, at, touched)
+        if how == "inner":
+            return pairs
         v = left.select(F.col(value).alias("__value")).distinct()
-        pairs = range_join(v, right.select(F.col(low).alias("__low"), F.col(high).alias("__high")).distinct(), "__value", "__low", "__high", width)
-        met = _spread(left.join(pairs, F.col(value) == F.col("__value"), how))
-        return met.join(right, (met["__low"] == right[low]) & (met["__high"] == right[high]), how).drop("__value", "__low", "__high")
-    l = left.withColumn("__bin", F.floor(F.col(value) / width))  # noqa: E741
-    r = right.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+        found = range_join(v, right.select(F.col(low).alias("__low"), F.col(high).alias("__high")).distinct(), "__value", "__low", "__high", width).select("__value").distinct()
+        alone = left.join(found, F.col(value) == F.col("__value"), "left_anti")
+        return pairs.union(alone.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema)))
+    l, r = left.withColumn("__bin", at), right.withColumn("__bin", touched)  # noqa: E741
     on = (l["__bin"] == r["__bin"]) & (l[value] >= r[low]) & (l[value] < r[high])
     return l.join(r, on, how).drop(l["__bin"]).drop(r["__bin"])
 

@@ -157,3 +157,37 @@ def test_range_join_of_repeated_values(spark):
         got = relational.range_join(left, right, "x", "low", "high", 2.0, how, repeats=True)
         assert got.columns == ["i", "x", "j", "low", "high"] and Counter((g.i, g.j) for g in got.collect()) == Counter(want), how
     assert relational.range_join(left, right.limit(0), "x", "low", "high", 2.0, repeats=True).count() == 0
+
+
+def _shuffled(plan):
+    """Rows written to shuffles by an executed plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_range_join_shuffles_blocks_not_rows_by_range(spark):
+    """Each of 3000 rows matches 50 of 100 ranges: the rows go to shuffles a few times, not once for each range."""
+    left = spark.range(3000).selectExpr("id AS i", "double(id % 100) AS x")
+    right = spark.range(3000).selectExpr("id AS j", "double(id % 100) AS low", "double(id % 100 + 50) AS high")
+    done = relational.range_join(left, right, "x", "low", "high", 1000.0, repeats=True)._jdf.queryExecution()
+    assert done.toRdd().count() == 30 * 30 * sum(0 <= x - a < 50 for x in range(100) for a in range(100))
+    assert _shuffled(done.executedPlan()) < 5 * (3000 + 3000)
+
+
+def test_range_join_of_a_hot_value_is_many_blocks(spark):
+    """Rows of one value fill several blocks and pieces: each pair comes once, and generated code doesn't hold the pairs of two blocks in memory."""
+    left = spark.range(9000).selectExpr("id AS i", "if(id < 8900, 5.0D, double(id)) AS x", "CAST(NULL AS INT) AS empty")
+    right = spark.range(300).selectExpr("id AS j", "if(id < 290, 5.0D, 8999.5D) AS low", "if(id < 290, 25.0D, 9001.0D) AS high", "array(id) AS more")
+    for how, rows in (("inner", 8900 * 290), ("left", 8900 * 290 + 100)):
+        out = relational.range_join(left, right, "x", "low", "high", 10.0, how, repeats=True)
+        assert out.columns == ["i", "x", "empty", "j", "low", "high", "more"]
+        one = out.selectExpr("count(*)", "count(DISTINCT i, j)", "sum(i * 300 + j)", "count_if(more[0] = j)").first()
+        assert tuple(one) == (rows, 8900 * 290, sum(range(8900)) * 300 * 290 + 8900 * sum(range(290)), 8900 * 290), how
+    blocks = relational._blocks(left, ["x"], F.floor(F.col("x") / 10.0), "l")
+    sizes = [[len(p["rows"]) for p in b["l"]] for b in blocks.collect()]
+    assert sum(map(sum, sizes)) == 9000 and max(map(sum, sizes)) <= 4096 and max(map(max, sizes)) <= 128 and sum(sum(s) > 100 for s in sizes) > 1
